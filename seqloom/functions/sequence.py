@@ -155,4 +155,4 @@ def marker_line(a: Column | str, b: Column | str) -> Column:
     """One mark a column of an aligned pair: '|' match, '.' mismatch, ' ' gap in either row."""
     gap = lambda p, q: (p == "-") | (q == "-")
     marks = F.zip_with(F.split(_c(a), ""), F.split(_c(b), ""), lambda p, q: F.when(gap(p, q), " ").when(p == q, "|").otherwise("."))
-    return F.array_join(marks, "")
+    return F.when(F.length(_c(a)) == 0, "").otherwise(F.array_join(marks, ""))

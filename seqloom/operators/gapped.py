@@ -146,7 +146,7 @@ def extend_with_gaps(seeds: DataFrame, min_identity: float = 0.8, max_extension:
             made.index = rows.index[good]
             yield made.reindex(rows.index).astype({c: "Int64" for c in made.columns if c not in ("seq1_aligned", "seq2_aligned", "identity", "alignment_string")})
 
-    udf = F.pandas_udf(extend, EXTENDED, F.PandasUDFType.SCALAR_ITER)
+    udf = F.pandas_udf(extend, EXTENDED)
     names = ("s1", "s2", "pos1", "pos2", "length", "orientation")
     made = seeds.withColumn("gapped", udf(*names))
     return made.withColumn("gapped", F.when(F.col("gapped.identity") >= min_identity, F.col("gapped")))
