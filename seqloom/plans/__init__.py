@@ -1 +1 @@
-
+"""Whole workflows, composed of the operators."""
