@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.common import shared_checkpoint
-from seqloom.operators.intervals import merge_intervals
 
 #: A perfect difference cover modulo 21, and the window it leaves in a span of 40 letters.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -60,86 +60,109 @@ def window_codes(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _letters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = _CODE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
-    return codes & 3, np.r_[0, np.cumsum(codes == 255)]
-
-
-def anchors(text: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hi (0), lo and position of the clean windows that begin on a cover position."""
-    codes, bad = _letters(text)
-    lo = window_codes(codes, width)
-    pos = np.flatnonzero(np.isin(np.arange(min(PERIOD, lo.size)), COVER))
-    pos = (np.arange(0, lo.size, PERIOD)[:, None] + pos).ravel() if lo.size else pos
-    pos = pos[pos < lo.size]
-    pos = pos[bad[pos + width] == bad[pos]]
-    return np.zeros(pos.size, np.int64), lo[pos], pos
-
-
-def spans_near(text: str, near: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hi, lo and position of the clean spans of ``length`` letters that contain an anchor at a position in ``near``."""
-    codes, bad = _letters(text)
-    n = codes.size - length + 1
-    if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
-    near = near[near + width <= codes.size]  # others belong to a second text of the same name
-    mark = np.zeros(codes.size + 2, np.int64)
-    np.add.at(mark, np.maximum(near - (length - width), 0), 1)
-    np.add.at(mark, near + 1, -1)
-    pos = np.flatnonzero(np.cumsum(mark)[:n] > 0)
-    pos = pos[bad[pos + length] == bad[pos]]
+class Letters:
+    """The sequences of a batch side by side, each followed by a foreign letter."""
+
+    def __init__(self, texts: list[str]):
+        data = "\n".join([*texts, ""]).encode("latin-1", "replace")
+        codes = _CODE[np.frombuffer(data, np.uint8)]
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begins = np.r_[0, np.cumsum(self.sizes)]
+        self.codes = codes & 3
+        self.bad = np.r_[0, np.cumsum(codes == 255)].astype(np.int32)
+
+    def clean(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Those of the places at which a window of that width lies in one sequence and holds A, C, G, T only."""
+        at = at[at + width <= self.codes.size]
+        return at[self.bad[at + width] == self.bad[at]]
+
+    def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of the sequence and the position in it."""
+        row = np.searchsorted(self.begins, at, side="right") - 1
+        return row, at - self.begins[row]
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # hi, lo, number of the sequence, position
+
+
+def anchors(texts: list[str], width: int) -> Found:
+    """The clean windows that begin on a cover position of their sequence; their codes fit in ``lo``."""
+    own = Letters(texts)
+    on_cover = np.zeros(PERIOD, bool)
+    on_cover[list(COVER)] = True
+    inside = np.arange(own.codes.size) - np.repeat(own.begins[:-1], own.sizes)
+    at = own.clean(np.flatnonzero(on_cover[inside % PERIOD]), width)
+    return np.zeros(at.size, np.int64), window_codes(own.codes, width)[at], *own.place(at)
+
+
+def spans_near(texts: list[str], near: list[list[int]], length: int, width: int) -> Found:
+    """The clean spans of ``length`` letters around an anchor at one of the positions in ``near``."""
+    own = Letters(texts)
+    counts = np.fromiter(map(len, near), np.int64, len(near))
+    row = np.repeat(np.arange(len(near)), counts)
+    at = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in near]])
+    good = at + width < own.sizes[row]  # others belong to a second text of the same name
+    begin, at = own.begins[row[good]], at[good]
+    first, behind = begin + np.maximum(at - (length - width), 0), begin + at + 1
+    open_ = np.bincount(first, minlength=own.codes.size + 1) - np.bincount(behind, minlength=own.codes.size + 1)
+    at = own.clean(np.flatnonzero(np.cumsum(open_)[: own.codes.size] > 0), length)
     half = length // 2
-    return window_codes(codes, half)[pos], window_codes(codes, length - half)[pos + half], pos
+    return window_codes(own.codes, half)[at], window_codes(own.codes, length - half)[at + half], *own.place(at)
 
 
-def _emit(rows: list, found: list) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of at most a million windows, with the place of their sequence repeated."""
-    if found:
-        sizes = np.array([f[2].size for f in found])
-        at = pa.array(np.repeat(np.arange(len(found)), sizes))
-        place = [pa.array([r[i] for r in rows], f.type).take(at) for i, f in enumerate(_PLACE)]
-        hi, lo, pos = (np.concatenate([f[i] for f in found]) for i in range(3))
-        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), *place, pa.array(pos.astype(np.int32)), pa.array(np.zeros(pos.size, bool))], schema=_FOUND)
+def _is_one_of(hi: np.ndarray, lo: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among the known (hi, lo) rows; a missed one only takes the ordinary way."""
+    if not known.size:
+        return np.zeros(hi.size, bool)
+    mix = lambda h, w: (h * np.int64(0x9E3779B97F4A7C1)) ^ w
+    with np.errstate(over="ignore"):
+        marks, own = mix(known[:, 0], known[:, 1]), mix(hi, lo)
+    order = np.argsort(marks)
+    near = order[np.minimum(np.searchsorted(marks[order], own), order.size - 1)]
+    return (known[near, 0] == hi) & (known[near, 1] == lo)
 
 
-def _windows(make) -> callable:
-    """A mapInArrow function: of each row (id, part, no, letters, ...) the windows that ``make`` finds."""
+def _windows(make, known: np.ndarray, together: int = 1 << 22):
+    """A mapInArrow function: of rows (id, part, no, letters, ...) the windows that ``make(texts, extra)`` finds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, found, size = [], [], 0
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                got = make(row)
-                if got[2].size:
-                    rows.append(row)
-                    found.append(got)
-                    size += got[2].size
-                if size >= 500_000:
-                    yield from _emit(rows, found)
-                    rows, found, size = [], [], 0
-        yield from _emit(rows, found)
+            texts = batch.column(3).to_pylist()
+            extra = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(texts)
+            begin, size = 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text)
+                if size >= together or end == len(texts):
+                    hi, lo, row, pos = make(texts[begin:end], extra[begin:end])
+                    if hi.size:
+                        row = pa.array(row + begin)
+                        place = [batch.column(i).take(row) for i in range(3)]
+                        settled = pa.array(_is_one_of(hi, lo, known))
+                        yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), *place, pa.array(pos.astype(np.int32)), settled], schema=_FOUND)
+                    begin, size = end, 0
 
     return run
 
 
 def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Codes that recur much within a chunk, with their number and their first and last id; a row of hi -1 has the total."""
+    """Codes that recur much within a chunk, with their number and their least and greatest id; the row of a null id has
+    the chunk's total."""
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         hi, lo = rows.column("hi").to_numpy(), rows.column("lo").to_numpy()
-        order = np.lexsort([lo, hi])
+        order = np.lexsort([lo, hi]) if hi.any() else np.argsort(lo)
         h, w = hi[order], lo[order]
         begins = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
         sizes = np.diff(np.r_[begins, h.size])
-        out = [[-1], [0], [rows.num_rows], [None], [None]]
-        ids = rows.column("id")
-        for b, s in zip(begins[sizes * HEAVY > h.size], sizes[sizes * HEAVY > h.size]):
-            if s > 1:
-                own = ids.take(pa.array(order[b : b + s])).to_pylist()
-                for col, v in zip(out, (h[b], w[b], s, min(own), max(own))):
-                    col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], ["hi", "lo", "n", "first", "last"])
+        many = (sizes > 1) & (sizes * HEAVY > h.size)
+        out = [[0], [0], [rows.num_rows], [None], [None]]
+        for b, n in zip(begins[many], sizes[many]):
+            ids = rows.column("id").take(pa.array(order[b : b + n]))
+            for col, v in zip(out, (h[b], w[b], n, pc.min(ids).as_py(), pc.max(ids).as_py())):
+                col.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["hi", "lo", "n", "first", "last"])
 
     held, size = [], 0
     for batch in batches:
@@ -184,22 +207,24 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(batch.slice(int(begins[one])))
 
 
-def _shared(windows: DataFrame) -> DataFrame:
-    """The windows whose code occurs in at least two ids: ``id, part, no, pos``."""
+def _settled(windows: DataFrame) -> np.ndarray:
+    """The (hi, lo) codes, fewer than MOST_HEAVY, that make up much of all windows and occur in two ids."""
     heavy = (
         windows.mapInArrow(_heavy, "hi bigint, lo bigint, n bigint, first string, last string")
-        .groupBy("hi", "lo")
+        .groupBy("hi", "lo", F.col("first").isNull().alias("is_total"))
         .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
-    total = F.broadcast(heavy.where("hi = -1").select(F.col("n").alias("total")))
-    # At most MOST_HEAVY codes can each make up this share of all windows.
-    settled = (
-        heavy.where("hi >= 0 and first <> last").join(total, F.col("n") * MOST_HEAVY > F.col("total")).select("hi", "lo", F.lit(True).alias("known"))
-    )
-    marked = windows.drop("settled").join(F.broadcast(settled), ["hi", "lo"], "left").withColumn("settled", F.coalesce("known", F.lit(False))).drop("known")
+    total = heavy.where("is_total").select(F.col("n").alias("total"))  # one row
+    large = heavy.where("first <> last").join(F.broadcast(total), F.col("n") * MOST_HEAVY > F.col("total"))
+    return np.array([(r["hi"], r["lo"]) for r in large.collect()], np.int64).reshape(-1, 2)
+
+
+def _shared(rows: DataFrame, make, known: np.ndarray) -> DataFrame:
+    """Of the windows that ``make`` finds in the rows, those whose code occurs in at least two ids: ``id, part, no, pos``."""
+    windows = rows.mapInArrow(_windows(make, known), FOUND)
     # A settled code needs no neighbours: its rows are spread over all partitions.
     spread = F.when(F.col("settled"), F.xxhash64("id", "part", "no", "pos")).otherwise(F.lit(0))
-    sorted_rows = marked.select(*_FOUND.names).repartition("hi", "lo", spread).sortWithinPartitions("hi", "lo", "id")
+    sorted_rows = windows.repartition("hi", "lo", spread).sortWithinPartitions("hi", "lo", "id")
     return sorted_rows.mapInArrow(_streamed, FOUND).select("id", "part", "no", "pos")
 
 
@@ -224,17 +249,24 @@ def shared_spans(sequences: DataFrame, min_length: int = 40) -> DataFrame:
     rows = sequences.select(F.col("id").cast("string"), F.coalesce(F.col("part").cast("string"), F.lit("")).alias("part"), F.coalesce(F.col("no").cast("int"), F.lit(0)).alias("no"), "letters")
     rows = rows.where(F.col("id").isNotNull() & (F.length("letters") >= min_length))
 
-    windows = rows.mapInArrow(_windows(lambda row: anchors(row[3], width)), FOUND)
-    near = _shared(windows).groupBy("id", "part", "no").agg(F.collect_set("pos").alias("near"))
-    near = shared_checkpoint(near)
-    around = rows.join(near, ["id", "part", "no"]).select("id", "part", "no", "letters", "near")
-    spans = around.mapInArrow(
-        _windows(lambda row: spans_near(row[3], np.array(row[4], np.int64), min_length, width)), FOUND
-    )
-    covered = _shared(spans).withColumn("last", F.col("pos") + min_length - 1)
-    runs = merge_intervals(covered, ["id", "part", "no"], "pos", "last").where("span_kind = 'period'")
-    return runs.select(
-        "id", "part", "no", F.col("span_start").cast("int").alias("span_start"), (F.col("span_end") + 1).cast("int").alias("span_end")
+    nothing = np.zeros((0, 2), np.int64)
+    find = lambda texts, _: anchors(texts, width)
+    heavy = _settled(rows.mapInArrow(_windows(find, nothing), FOUND))
+    near = _shared(rows, find, heavy).groupBy("id", "part", "no").agg(F.collect_set("pos").alias("near"))
+    around = rows.join(shared_checkpoint(near), ["id", "part", "no"]).select("id", "part", "no", "letters", "near")
+    extend = lambda texts, at: spans_near(texts, at, min_length, width)
+    # A frequent span holds frequent anchors.
+    heavy = _settled(around.mapInArrow(_windows(extend, nothing), FOUND)) if heavy.size else nothing
+    # A sequence has no more positions than letters, and was a single row before.
+    order = Window.partitionBy("id", "part", "no").orderBy("pos")
+    begins = F.coalesce(F.col("pos") > F.lag("pos").over(order) + min_length, F.lit(True)).cast("int")
+    return (
+        _shared(around, extend, heavy)
+        .withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(order))
+        .groupBy("id", "part", "no", "run")
+        .agg(F.min("pos").alias("span_start"), (F.max("pos") + min_length).alias("span_end"))
+        .drop("run")
     )
 
 
