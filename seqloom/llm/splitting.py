@@ -96,9 +96,9 @@ def range_end(window: str) -> tuple[int, int]:
 class Cutter:
     """The tokens of one range and its pieces."""
 
-    def __init__(self, text: str, vocabulary: str, limit: int, overlap: int):
+    def __init__(self, text: str, vocabulary: str, limit: int, overlap: int, ids: bytes | None = None):
         self.tok, self.limit, self.overlap = tokenizer(vocabulary), limit, overlap
-        self.ids = self.tok.ids(text)
+        self.ids = self.tok.ids(text) if ids is None else np.frombuffer(ids, np.int32)
         self.n = int(self.ids.size)
         self.data = text.encode()
         self.vocabulary = vocabulary
@@ -232,15 +232,15 @@ def split_texts(
                 cutter = Cutter(own, vocabulary, limit, overlap)
                 cutter.prepare()
                 tail = cutter.tail(cutter.n)
-                out.append((i, no, edge, own, cutter.n, cutter.slice(tail, cutter.n), cutter.n - tail))
+                out.append((i, no, edge, own, cutter.ids.tobytes(), cutter.n, cutter.slice(tail, cutter.n), cutter.n - tail))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
     order = Window.partitionBy("doc_id").orderBy("range_no")
     stitched = ranges.mapInArrow(
-        tabulate, "doc_id bigint, range_no int, edge int, text string, n bigint, tail string, n_tail int"
+        tabulate, "doc_id bigint, range_no int, edge int, text string, ids binary, n bigint, tail string, n_tail int"
     ).select(
-        "doc_id", "range_no", "edge", "text",
+        "doc_id", "range_no", "edge", "text", "ids",
         F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
         F.coalesce(F.lag("tail").over(order), F.lit("")).alias("head"),
@@ -250,8 +250,8 @@ def split_texts(
 
     def cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, no, edge, t, before, head, n_head in zip(*[c.to_pylist() for c in batch.columns]):
-                cutter = Cutter(t, vocabulary, limit, overlap)
+            for i, no, edge, t, ids, before, head, n_head in zip(*[c.to_pylist() for c in batch.columns]):
+                cutter = Cutter(t, vocabulary, limit, overlap, ids)
                 cutter.prepare()
                 yield _rows(_numbered(i, no, before, cutter.pieces(head, n_head), edge))
 
@@ -262,7 +262,7 @@ def split_texts(
 
 
 #: The boundary table of a range.
-_TABLE = (("doc_id", pa.int64()), ("range_no", pa.int32()), ("edge", pa.int32()), ("text", pa.string()), ("n", pa.int64()), ("tail", pa.string()), ("n_tail", pa.int32()))
+_TABLE = (("doc_id", pa.int64()), ("range_no", pa.int32()), ("edge", pa.int32()), ("text", pa.string()), ("ids", pa.binary()), ("n", pa.int64()), ("tail", pa.string()), ("n_tail", pa.int32()))
 
 
 def _numbered(doc, range_no, before, pieces, edge) -> list[tuple]:

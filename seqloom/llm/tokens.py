@@ -33,7 +33,7 @@ class Tokenizer:
             self.widths[i] = len(token)
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
+        return np.array(self.encoding.encode_ordinary(text), np.int32)
 
     def count(self, text: str) -> int:
         return len(self.encoding.encode_ordinary(text))
