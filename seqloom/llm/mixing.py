@@ -152,7 +152,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, seed: int = 0) -> tupl
 
 
 def _fitter(seed: int):
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n_tokens", ignore_index=True)
         budget, total = int(rows["budget"].iloc[0]), int(rows["all_tokens"].iloc[0])
         passes, left = divmod(budget, total)

@@ -111,7 +111,7 @@ PACKED = "block bigint, bin int, item_id bigint, piece_no int, n_tokens int, fil
 
 
 def _pack(capacity: int):
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["item_id", "piece_no"], ignore_index=True)
         sizes = rows["n_tokens"].tolist()
         bins = local_search(best_fit(sizes, capacity), sizes, capacity)

@@ -214,8 +214,8 @@ def _settled(windows: DataFrame) -> np.ndarray:
         .groupBy("hi", "lo", F.col("first").isNull().alias("is_total"))
         .agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     )
-    total = heavy.where("is_total").select(F.col("n").alias("total"))  # one row
-    large = heavy.where("first <> last").join(F.broadcast(total), F.col("n") * MOST_HEAVY > F.col("total"))
+    total = heavy.where("is_total").select(F.lit(1).alias("one"), F.col("n").alias("total"))  # one row
+    large = heavy.where("first <> last").withColumn("one", F.lit(1)).join(F.broadcast(total), "one").where(F.col("n") * MOST_HEAVY > F.col("total"))
     return np.array([(r["hi"], r["lo"]) for r in large.collect()], np.int64).reshape(-1, 2)
 
 
