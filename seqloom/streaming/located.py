@@ -18,7 +18,10 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None =
 
 
 def stream_protein_hits(spark: SparkSession, folder: str, positions: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Located hits of the files that arrive in a folder; stateless, so no watermark is needed."""
+    """Located hits of the files that arrive in a folder; stateless, so no watermark is needed.
+
+    ``positions`` is a stored index (``positions.open_index``) or another table that doesn't number its rows.
+    """
     return locate_hits(parse_hits(stream_lines(spark, folder, files_per_batch)), positions, "query_id")
 
 
