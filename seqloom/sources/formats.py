@@ -50,6 +50,12 @@ def _try(kind: str, c: Column) -> Column:
     return F.btrim(c).try_cast(kind)
 
 
+def _with_parts(lines: DataFrame, line: Column, separator: str) -> DataFrame:
+    """``lines`` with the array ``the parts``, split once: an optimizer may repeat a projection's work in every filter
+    and field above it, but not a generator's."""
+    return lines.select("*", F.explode(F.array(F.split(line, separator))).alias("the parts"))
+
+
 def read_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     return _ranked(spark.read, paths)
 
@@ -126,25 +132,20 @@ def attribute_map(text: Column) -> Column:
     return F.map_from_entries(later)
 
 
-def feature_fields(line: Column) -> list[Column]:
-    part = F.split(line, "\t")
-    get = lambda i: F.get(part, F.lit(i))
-    dotted = lambda i, kind: F.when(get(i) != ".", _try(kind, get(i)))
-    bad = ((get(5) != ".") & dotted(5, "double").isNull()) | ((get(7) != ".") & dotted(7, "int").isNull())
-    good = (F.size(part) >= 8) & _try("bigint", get(3)).isNotNull() & _try("bigint", get(4)).isNotNull() & ~bad
-    text = F.coalesce(get(8), F.lit(""))
-    return [
-        good.alias("good"), get(0).alias("seqid"), get(1).alias("source"), get(2).alias("feature_type"), _try("bigint", get(3)).alias("start"),
-        _try("bigint", get(4)).alias("end"), dotted(5, "double").alias("score"), get(6).alias("strand"), dotted(7, "int").alias("phase"),
-        attribute_map(text).alias("attributes"),
-    ]
-
-
 def parse_features(lines: DataFrame) -> DataFrame:
     """GFF features from lines in ``value``: at least eight fields and good numbers; '#' and blank lines left out."""
     line = F.btrim("value", F.lit(" \t\r\n"))
-    rows = lines.where((line != "") & ~line.startswith("#"))
-    return rows.select(*[c for c in rows.columns if c != "value"], *feature_fields(F.regexp_replace("value", r"\s+$", ""))).where("good").drop("good")
+    rows = _with_parts(lines.where((line != "") & ~line.startswith("#")), F.regexp_replace("value", r"\s+$", ""), "\t")
+    part = F.col("the parts")
+    get = lambda i: F.get(part, F.lit(i))
+    dotted = lambda i, kind: F.when(get(i) != ".", _try(kind, get(i)))
+    bad = ((get(5) != ".") & dotted(5, "double").isNull()) | ((get(7) != ".") & dotted(7, "int").isNull())
+    rows = rows.where((F.size(part) >= 8) & _try("bigint", get(3)).isNotNull() & _try("bigint", get(4)).isNotNull() & ~bad)
+    return rows.select(
+        *[c for c in lines.columns if c != "value"], get(0).alias("seqid"), get(1).alias("source"), get(2).alias("feature_type"),
+        _try("bigint", get(3)).alias("start"), _try("bigint", get(4)).alias("end"), dotted(5, "double").alias("score"), get(6).alias("strand"),
+        dotted(7, "int").alias("phase"), attribute_map(F.coalesce(get(8), F.lit(""))).alias("attributes"),
+    )
 
 
 def read_gff(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -154,14 +155,13 @@ def read_gff(spark: SparkSession, paths: Paths) -> DataFrame:
 def parse_bed(lines: DataFrame) -> DataFrame:
     """BED records: 0-based start, end not included; name, score and strand may be missing; 'track' lines left out."""
     line = F.btrim("value", F.lit(" \t\r\n"))
-    part = F.split(line, "\t")
-    get = lambda i: F.get(part, F.lit(i))
-    rows = lines.where((line != "") & ~line.startswith("#") & ~line.startswith("track"))
-    made = rows.select(
-        *[c for c in rows.columns if c != "value"], get(0).alias("chrom"), _try("bigint", get(1)).alias("start"), _try("bigint", get(2)).alias("end"),
+    rows = _with_parts(lines.where((line != "") & ~line.startswith("#") & ~line.startswith("track")), line, "\t")
+    get = lambda i: F.get("the parts", F.lit(i))
+    rows = rows.where(_try("bigint", get(1)).isNotNull() & _try("bigint", get(2)).isNotNull())
+    return rows.select(
+        *[c for c in lines.columns if c != "value"], get(0).alias("chrom"), _try("bigint", get(1)).alias("start"), _try("bigint", get(2)).alias("end"),
         get(3).alias("name"), F.when(get(4) != ".", _try("int", get(4))).alias("score"), get(5).alias("strand"),
     )
-    return made.where(F.col("start").isNotNull() & F.col("end").isNotNull())
 
 
 def read_bed(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -170,20 +170,16 @@ def read_bed(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def parse_hits(lines: DataFrame, strict: bool = False, comments: bool = True) -> DataFrame:
     """Tabular search hits: twelve or more tab fields. Bad rows are dropped; with ``strict`` a bad number is an error."""
-    part = F.split(F.btrim("value", F.lit(" \t\r\n")), "\t")
-    rows = lines.where(F.btrim("value", F.lit(" \t\r\n")) != "")
+    line = F.btrim("value", F.lit(" \t\r\n"))
+    rows = lines.where(line != "")
     if comments:
-        rows = rows.where(~F.btrim("value").startswith("#"))
-    rows = rows.where(F.size(part) >= 12)
-    typed = [
-        (F.btrim(F.get(part, F.lit(i))).cast(kind) if strict else _try(kind, F.get(part, F.lit(i)))).alias(name) if kind != "string" else F.get(part, F.lit(i)).alias(name)
-        for i, (name, kind) in enumerate(SEARCH_FIELDS)
-    ]
-    made = rows.select(*[c for c in rows.columns if c != "value"], *typed)
-    for name, kind in SEARCH_FIELDS:
-        if kind != "string" and not strict:
-            made = made.where(F.col(name).isNotNull())
-    return made
+        rows = rows.where(~line.startswith("#"))
+    rows = _with_parts(rows, line, "\t").where(F.size("the parts") >= 12)
+    get = lambda i: F.get("the parts", F.lit(i))
+    fields = [(get(i) if kind == "string" else F.btrim(get(i)).cast(kind) if strict else _try(kind, get(i))).alias(name) for i, (name, kind) in enumerate(SEARCH_FIELDS)]
+    made = rows.select(*[c for c in lines.columns if c != "value"], *fields)
+    numbers = [] if strict else [name for name, kind in SEARCH_FIELDS if kind != "string"]
+    return made.dropna(subset=numbers) if numbers else made
 
 
 def read_protein_hits(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -205,15 +201,14 @@ def parse_profile_hits(lines: DataFrame) -> DataFrame:
     they are null.
     """
     line = F.btrim("value", F.lit(" \t\r\n"))
-    part = F.split(line, r"\s+")
-    get = lambda i: F.get(part, F.lit(i))
-    rows = lines.where((line != "") & ~line.startswith("#") & (F.size(part) >= 9))
-    many = F.size(part) >= 19
+    rows = _with_parts(lines.where((line != "") & ~line.startswith("#")), line, r"\s+").where(F.size("the parts") >= 9)
+    get = lambda i: F.get("the parts", F.lit(i))
+    many = F.size("the parts") >= 19
     number = F.when(many, _try("int", get(9)))
     evalue = F.when(number.isNotNull(), _try("double", get(12)))
     score = F.when(evalue.isNotNull(), _try("double", get(14)))
     made = rows.select(
-        *[c for c in rows.columns if c != "value"], get(0).alias("target_name"), get(3).alias("query_name"), get(1).alias("accession"),
+        *[c for c in lines.columns if c != "value"], get(0).alias("target_name"), get(3).alias("query_name"), get(1).alias("accession"),
         _try("double", get(6)).alias("evalue"), _try("double", get(7)).alias("score"), _try("double", get(8)).alias("bias"),
         number.alias("domain_number"), evalue.alias("domain_evalue"), score.alias("domain_score"),
     )
