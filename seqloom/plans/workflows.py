@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.elements import element_alignments, filter_inputs
 from seqloom.operators.filters import Pipeline, apply_filters, default_pipeline
-from seqloom.operators.locate import locate_hits, with_genomic_sequence
+from seqloom.operators.locate import locate_hits, with_genomic_sequence, with_target_sequence
 from seqloom.operators.positions import positions_from_genes
+from seqloom.operators.regions import extract_regions
 from seqloom.operators.search import deduplicate_hits
-from seqloom.operators.locate import with_target_sequence
 from seqloom.sources import formats
 from seqloom.sources.sinks import PROTEIN_HIT_COLUMNS, hit_table
 
@@ -52,3 +52,22 @@ def searched_sequences(hits: DataFrame, records: DataFrame, order, context: int
     """External search hits to their target sequences without near copies. ``hits`` also has ``hit_id``."""
     found = with_target_sequence(hits, records, order, context)
     return deduplicate_hits(found, threshold)
+
+
+def listed_regions(proteins: DataFrame, positions: DataFrame, contigs: DataFrame, upstream: int = 350, downstream: int = 250) -> DataFrame:
+    """A list of proteins (``protein_id``) to their regions; proteins without a position are left out."""
+    return extract_regions(proteins.join(positions, "protein_id"), contigs, upstream, downstream)
+
+
+def candidates_by_element(candidates: DataFrame) -> DataFrame:
+    """One row per element with its candidates in order; an element's candidates are bounded by its own letters."""
+    rank = F.struct("flanking_source", "region_index", "pos1", "pos2", "length", "orientation", "e_value", "confidence")
+    return candidates.groupBy("is_id").agg(F.count("*").alias("n_candidates"), F.sort_array(F.collect_list(rank)).alias("alignments"))
+
+
+def joined_candidates(candidates: DataFrame, elements: DataFrame, max_length: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their element's record, for elements up to a length, and the candidates without a record."""
+    names = [c for c in elements.columns if c not in candidates.columns or c in ("sample", "is_id")]
+    short = elements.select(*names).where(F.coalesce("is_element.length", F.lit(0)) <= max_length)
+    keys = ["sample", "is_id"]
+    return candidates.join(short, keys), candidates.join(elements.select(keys).distinct(), keys, "left_anti")

@@ -14,6 +14,7 @@ from seqloom.operators.gapped import extend_with_gaps
 from seqloom.operators.locate import with_genomic_sequence, with_target_sequence
 from seqloom.operators.regions import extract_regions
 from seqloom.operators.search import deduplicate_hits, search_words
+from seqloom.plans.workflows import candidates_by_element, guide_candidates
 from seqloom.sources.sinks import arc_features, deduplicated_alignments, element_features, flat_file
 
 
@@ -175,7 +176,21 @@ def transposition_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.col("pair_id").alias("is_id"), "gapped.*")
 
 
+def guide_candidates_by_element(spark: SparkSession, sf: str) -> DataFrame:
+    found = candidates_by_element(guide_candidates(_elements(spark, sf)))
+    return found.select("is_id", "n_candidates", F.transform("alignments", lambda a: a["length"]).alias("lengths"))
+
+
+def diagram_features(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _elements(spark, sf)
+    found = deduplicated_alignments(element_alignments(rows), F.col("region_index"), F.col("pos1"))
+    made = element_features(rows, found, by_length_field=True)
+    return made.where("feature_type <> 'misc_binding'").select("is_id", "feature_type", "feature_start", "feature_end", "strand", "label")
+
+
 QUERIES = {
+    "guide_candidates_by_element": guide_candidates_by_element,
+    "diagram_features": diagram_features,
     "sequence_metrics": sequence_metrics,
     "flank_identity": flank_identity,
     "orf_regions": orf_regions,
@@ -281,6 +296,16 @@ rec AS (SELECT is_id AS id, coalesce(is_element.sequence, '') AS sequence FROM c
 """
 
 ORACLES = {
+    "guide_candidates_by_element": _DEFAULT
+    + "SELECT is_id, count(*) AS n_candidates, list(n ORDER BY flanking_source, region_index, pos1, pos2, n, orientation) AS lengths FROM j WHERE pass GROUP BY is_id",
+    "diagram_features": _CUR
+    + """, z AS (SELECT *, coalesce(flanking_upstream.length, 0) AS up, coalesce(is_element.length, 0) AS own, coalesce(flanking_downstream.length, 0) AS down FROM cur),
+o AS (SELECT is_id, up, unnest(orf_annotation.orfs) AS x FROM z), r AS (SELECT is_id, up, unnest(orf_annotation.noncoding_regions) AS x FROM z)
+SELECT is_id, 'misc_feature' AS feature_type, 0::BIGINT AS feature_start, up::BIGINT AS feature_end, 0 AS strand, 'upstream_flanking' AS label FROM z WHERE up > 0
+UNION ALL SELECT is_id, 'misc_feature', up + own, up + own + down, 0, 'downstream_flanking' FROM z WHERE down > 0
+UNION ALL SELECT is_id, 'misc_feature', up, up + own, 0, is_id FROM z
+UNION ALL SELECT is_id, 'CDS', up + x.start - 1, up + x."end", CASE WHEN coalesce(x.strand, '+') = '+' THEN 1 ELSE -1 END, coalesce(x.orf_id, '') FROM o WHERE x IS NOT NULL
+UNION ALL SELECT is_id, 'misc_feature', up + x.start - 1, up + x."end", 0, coalesce(x.type, 'noncoding') FROM r WHERE x IS NOT NULL""",
     "sequence_metrics": _REGIONS
     + f"""SELECT is_id, region_no, {_RC.format('seq')} AS turned, round({_at('u')}, 6) AS at, round({_at('u', 'GC')}, 6) AS gc, round({_entropy('u')}, 6) AS entropy, {_run('u')} AS run,
   regexp_matches(u, 'A{{5}}|T{{5}}|G{{5}}|C{{5}}') AS has_run, round({_dinucleotide('u')}, 6) AS dinucleotide, length(u) >= 6 AND {_dinucleotide('u')} >= 0.2 AS has_repeat FROM reg""",

@@ -220,6 +220,34 @@ def feature_positions(spark: SparkSession, sf: str) -> DataFrame:
     return P.positions_from_features(rows.where("seqid is not null"))
 
 
+def all_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Protein and profile hits under common names, as a bag."""
+    a = table(spark, sf, "diamond_hits").select(F.lit("protein").alias("kind"), "hit_id", clean_id("protein_id").alias("protein_id"), "evalue", F.col("bitscore").alias("score"))
+    b = table(spark, sf, "hmm_hits").select(F.lit("profile").alias("kind"), "hit_id", clean_id("protein_id").alias("protein_id"), "evalue", "score")
+    return a.unionByName(b)
+
+
+def proteins_in_both(spark: SparkSession, sf: str) -> DataFrame:
+    rows = all_hits(spark, sf).where("protein_id is not null")
+    return rows.where("kind = 'protein'").select("protein_id").intersect(rows.where("kind = 'profile'").select("protein_id"))
+
+
+def repeated_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits that are there more than once, and how often."""
+    return table(spark, sf, "diamond_hits").groupBy("hit_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def null_counts(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["query_id", "protein_id", "contig_id", "evalue", "bitscore", "loaded_at"]
+    return table(spark, sf, "diamond_hits").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names])
+
+
+def top_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best hits of all, a report."""
+    rows = _hits(spark, sf).where(F.col("bitscore").isNotNull() & ~F.isnan("bitscore"))
+    return rows.orderBy(F.desc("bitscore"), "hit_id").limit(10).select("hit_id", "bitscore")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -227,7 +255,8 @@ QUERIES = {
         unlocated_protein_hits, protein_hit_table, profile_hit_table, subject_summary, subject_stats, subjects_having, hit_description,
         hit_correlations, best_profile_per_protein, best_profiles_per_family, hit_columns, length_class_counts, subjects_on_both_strands,
         identity_histogram, file_counts, transposase_hits, hit_evalues, hit_headers, parsed_search_lines, parsed_profile_lines,
-        parsed_feature_lines, parsed_bed_lines, parsed_gene_headers, feature_positions,
+        parsed_feature_lines, parsed_bed_lines, parsed_gene_headers, feature_positions, all_hits, proteins_in_both,
+        repeated_hits, null_counts, top_scores,
     )
 }
 
@@ -295,4 +324,10 @@ SELECT hit_id, round(CASE WHEN e > 0 AND e < 1e300 THEN log10(e) END, 5) AS log_
     "parsed_gene_headers": f'WITH {_P} SELECT protein_id, start, "end", strand FROM p WHERE start IS NOT NULL AND "end" IS NOT NULL AND strand IS NOT NULL',
     "feature_positions": f"""WITH {_G} SELECT seqid || '_' || split_part(attributes['ID'], '_', -1) AS protein_id, arg_min(start, feature_id) AS start, arg_min("end", feature_id) AS "end",
   arg_min(CASE WHEN strand = '+' THEN 1 ELSE -1 END, feature_id)::TINYINT AS strand, arg_min(seqid, feature_id) AS contig_id FROM g WHERE feature_type = 'CDS' AND coalesce(attributes['ID'], '') <> '' GROUP BY 1""",
+    "all_hits": f"""SELECT 'protein' AS kind, hit_id, {_C.format('protein_id')} AS protein_id, evalue, bitscore AS score FROM diamond_hits
+  UNION ALL SELECT 'profile', hit_id, {_C.format('protein_id')}, evalue, score FROM hmm_hits""",
+    "proteins_in_both": f"""SELECT {_C.format('protein_id')} AS protein_id FROM diamond_hits WHERE {_C.format('protein_id')} IS NOT NULL INTERSECT SELECT {_C.format('protein_id')} FROM hmm_hits""",
+    "repeated_hits": "SELECT hit_id, count(*) AS n FROM diamond_hits GROUP BY hit_id HAVING count(*) > 1",
+    "null_counts": "SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in ("query_id", "protein_id", "contig_id", "evalue", "bitscore", "loaded_at")) + " FROM diamond_hits",
+    "top_scores": f"WITH {_H} SELECT hit_id, bitscore FROM h WHERE bitscore IS NOT NULL AND NOT isnan(bitscore) ORDER BY bitscore DESC, hit_id LIMIT 10",
 }

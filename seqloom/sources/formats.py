@@ -279,3 +279,26 @@ def format_of_line(line: str) -> str:
     if line.startswith(">"):
         return "fasta"
     return "gff" if re.match("##gff", line) or "\t" in line else "unknown"
+
+
+def read_protein_list(spark: SparkSession, paths: Paths, schema: str = "genome_name string, protein_id string") -> DataFrame:
+    """A CSV list of proteins with a header; rows without a protein_id are left out."""
+    rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(list(paths) if not isinstance(paths, str) else paths)
+    return rows.where(F.length(F.btrim("protein_id")) > 0)
+
+
+def read_hit_table(spark: SparkSession, path: str) -> DataFrame:
+    """An exported CSV hit table, with types inferred from its values."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def parse_files(spark: SparkSession, paths: Paths, kind: str) -> DataFrame:
+    """Files of search ('m8') or feature ('gff') lines with what became of every line, as in ``raw_lines.parse_lines``.
+
+    Lines stay in the order of the file within each block that a task reads, so that ``resumed`` marks the line at
+    which reading went on after a broken quote.
+    """
+    from seqloom.sources.raw_lines import parse_lines
+
+    lines = read_lines(spark, paths).select(F.struct("file_path", "record_rank").alias("place"), F.lit(kind).alias("kind"), "value")
+    return parse_lines(lines, "place", "kind", "value")

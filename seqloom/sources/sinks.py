@@ -77,22 +77,22 @@ def _feature(kind: str, start: Column, end: Column, strand: Column, label: Colum
     return F.struct(*[c.alias(n) for n, c in made.items()])
 
 
-def element_features(elements: DataFrame, alignments: DataFrame) -> DataFrame:
+def element_features(elements: DataFrame, alignments: DataFrame, by_length_field: bool = False) -> DataFrame:
     """Annotated features of every element on its own axis: upstream flank, element, downstream flank.
 
     Args:
         elements: one row per is_id, with the nested columns.
         alignments: deduplicated alignments with ``is_id, flanking_source, noncoding_start, pos1, pos2, length,
             orientation``.
+        by_length_field: take the parts' sizes from their length fields, as diagrams do, instead of the sequences.
 
     Returns:
         ``is_id, feature_type, feature_start, feature_end`` (0-based, half-open), ``strand, label, note,
         translation``. Two flanks (if not empty), the element, its ORFs as CDS, its noncoding regions, and for each
         alignment its places in region and flank as misc_binding. Null parts give no feature.
     """
-    up = F.coalesce(F.length("flanking_upstream.sequence"), F.lit(0)).cast("bigint")
-    own = F.coalesce(F.length("is_element.sequence"), F.lit(0)).cast("bigint")
-    down = F.coalesce(F.length("flanking_downstream.sequence"), F.lit(0)).cast("bigint")
+    parts_of = ("flanking_upstream", "is_element", "flanking_downstream")
+    up, own, down = (F.coalesce(F.col(f"{p}.length") if by_length_field else F.length(f"{p}.sequence"), F.lit(0)).cast("bigint") for p in parts_of)
     none, size = F.lit(0), lambda n, what: F.concat(n, F.lit(f"bp {what}"))
     orfs = F.transform(
         F.filter("orf_annotation.orfs", lambda x: x.isNotNull()),

@@ -185,3 +185,27 @@ def test_families(spark):
     c = spark.createDataFrame([("a",), ("b",), ("c",)], "is_id string")
     n = spark.createDataFrame([("a", "o1", "IS3"), ("a", "o2", "IS1"), ("a", "o3", "IS3"), ("b", "o1", "")], "is_id string, orf_id string, is_family string")
     assert {r.is_id: r.families for r in W.with_families(c, n).collect()} == {"a": "IS1, IS3", "b": None, "c": None}
+
+
+def test_parse_files_keeps_every_line(spark, folder):
+    out = S.parse_files(spark, f"{folder}/a.m8", "m8").orderBy("line_id.record_rank").collect()
+    assert [r.outcome for r in out] == ["skipped", "skipped", "record", "error", "record", "error", "error"]
+    assert [r.reason for r in out if r.reason] == ["too_many_fields", "too_few_fields", "not_a_number"]
+
+
+def test_build_index(spark, folder, tmp_path):
+    from seqloom.index import build
+
+    a = P.open_index(spark, build(spark, f"{folder}/a.faa", str(tmp_path / "a")))
+    assert {r.protein_id: r.start for r in a.collect()} == {"ctg_1_1": 3, "ctg_1_2": 20}
+    b = P.open_index(spark, build(spark, f"{folder}/a.gff", str(tmp_path / "b"), 2))
+    assert b.first().protein_id == "ctg_1_8"
+
+
+def test_listed_regions(spark, folder, tmp_path):
+    (tmp_path / "list.csv").write_text("genome_name,protein_id\ng,ctg_1_2\ng,\ng,none\n")
+    listed = S.read_protein_list(spark, str(tmp_path / "list.csv"))
+    genes = P.positions_from_genes(S.read_gene_proteins(spark, f"{folder}/a.faa"))
+    contigs = spark.createDataFrame([("ctg_1", "ACGTACGTACGTACGTACGTAAACCCGGGTTT")], "contig_id string, sequence string")
+    found = W.listed_regions(listed, genes, contigs, 5, 5).collect()
+    assert [(r.protein_id, r.coding.sequence) for r in found] == [("ctg_1_2", "CCGGGTTTA")]
