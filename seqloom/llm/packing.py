@@ -22,7 +22,9 @@ ROUNDS = 3
 #: A container that is filled less than this leaves its block for the next round.
 FULL = 0.995
 #: The most containers that the search of a block looks at; the emptiest ones. Others stay as they are.
-SEARCHED = 400
+SEARCHED = 1_000
+#: Givers in a row that can't be emptied before a search ends.
+PATIENCE = 20
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -43,67 +45,75 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, searched: int = SEARCHED) -> list[list[int]]:
-    """Empties bins by moves and exchanges that raise the sum of squared fills; never makes a bin overfull."""
-    fill = [sum(sizes[i] for i in b) for b in bins]
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int, searched: int = SEARCHED, patience: int = PATIENCE) -> list[list[int]]:
+    """Empties bins by moves and exchanges that raise the sum of squared fills; never makes a bin overfull.
+
+    The emptiest bin gives first. A giver that can't be emptied keeps what it has got; after ``patience`` of them in
+    a row, each fuller than the last, the search ends.
+    """
+    held = [sorted((sizes[i], i) for i in b) for b in bins]
+    fill = [sum(s for s, _ in b) for b in held]
     active = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))[:searched]
+    failed = 0
     for giver in active:
-        others = [b for b in active if b != giver and bins[b]]
+        others = [b for b in active if b != giver and held[b]]
         moved = True
-        while bins[giver] and moved:
-            moved = any(_step(bins, sizes, fill, capacity, giver, i, others) for i in sorted(bins[giver], key=lambda i: -sizes[i]))
-    return [b for b in bins if b]
+        while held[giver] and moved:
+            moved = any(_step(held, fill, capacity, giver, item, others) for item in held[giver][::-1])
+        failed = failed + 1 if held[giver] else 0
+        if failed >= patience:
+            break
+    return [[i for _, i in b] for b in held if b]
+
+
+def _exchange(own: list[tuple[int, int]], item: tuple[int, int], theirs: list[tuple[int, int]], room: int):
+    """Of all ways to bring ``item`` into a bin with that room the one that fills it most: (growth, in, out)."""
+    size = item[0]
+    if size <= room:
+        return size, (item,), ()
+    best = (0, (), ())
+    at = bisect_left(theirs, (size - room, -1))  # one for one: the smallest that makes place
+    if at < len(theirs) and theirs[at][0] < size:
+        best = (size - theirs[at][0], (item,), (theirs[at],))
+    low, high = 0, len(theirs) - 1  # two out for one in: the smallest sum that makes place
+    while low < high and best[0] < room:
+        both = theirs[low][0] + theirs[high][0]
+        if both < size - room:
+            low += 1
+        else:
+            if both < size and size - both > best[0]:
+                best = (size - both, (item,), (theirs[low], theirs[high]))
+            high -= 1
+    for out in theirs[bisect_left(theirs, (size, -1)) :]:  # one out for two in
+        if best[0] == room:
+            break
+        k = bisect_left(own, (room + out[0] - size + 1, -1)) - 1
+        if k >= 0 and own[k] == item:
+            k -= 1
+        if k >= 0 and size + own[k][0] - out[0] > best[0]:
+            best = (size + own[k][0] - out[0], (item, own[k]), (out,))
+    return best
 
 
-def _step(bins, sizes, fill, capacity, giver, item, others) -> bool:
-    """One change that takes ``item`` out of the giver, the first kind that raises the squared fill most."""
-    size, best = sizes[item], None
+def _step(held, fill, capacity, giver, item, others) -> bool:
+    """The one change that takes ``item`` out of the giver and raises the squared fill most, if any does."""
+    most, chosen = 0, None
     for b in others:
         room = capacity - fill[b]
-        if not bins[b] or not room:
-            continue
-        if room >= size:  # move
-            gain = 2 * size * (fill[b] - fill[giver] + size)
-            if gain > 0 and (best is None or gain > best[0]):
-                best = (gain, b, (item,), ())
-            continue
-        # One for one: the smallest item that makes place; two for one: two small ones out for the item in, or with
-        # a second item of the giver one out for two in.
-        for out in bins[b]:
-            grow = size - sizes[out]
-            if 0 < grow <= room:
-                gain = 2 * grow * (fill[b] - fill[giver] + grow)
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, b, (item,), (out,))
-            elif grow < 0:
-                for second in bins[giver]:
-                    both = grow + sizes[second]
-                    if second != item and 0 < both <= room:
-                        gain = 2 * both * (fill[b] - fill[giver] + both)
-                        if gain > 0 and (best is None or gain > best[0]):
-                            best = (gain, b, (item, second), (out,))
-        small = sorted((o for o in bins[b] if sizes[o] < size), key=lambda o: sizes[o])
-        for x in range(len(small) - 1):
-            for y in range(x + 1, len(small)):
-                grow = size - sizes[small[x]] - sizes[small[y]]
-                if grow <= 0:
-                    break
-                if grow <= room:
-                    gain = 2 * grow * (fill[b] - fill[giver] + grow)
-                    if gain > 0 and (best is None or gain > best[0]):
-                        best = (gain, b, (item,), (small[x], small[y]))
-    if best is None:
+        if room and held[b] and room * (fill[b] - fill[giver] + room) > most:
+            grow, there, back = _exchange(held[giver], item, held[b], room)
+            gain = grow * (fill[b] - fill[giver] + grow)
+            if grow and gain > most:
+                most, chosen = gain, (b, grow, there, back)
+    if chosen is None:
         return False
-    _, b, there, back = best
-    for i in there:
-        bins[giver].remove(i)
-        bins[b].append(i)
-    for i in back:
-        bins[b].remove(i)
-        bins[giver].append(i)
-    change = sum(sizes[i] for i in there) - sum(sizes[i] for i in back)
-    fill[giver] -= change
-    fill[b] += change
+    b, grow, there, back = chosen
+    for source, target, items in ((giver, b, there), (b, giver, back)):
+        for x in items:
+            held[source].remove(x)
+            insort(held[target], x)
+    fill[giver] -= grow
+    fill[b] += grow
     return True
 
 
@@ -158,7 +168,8 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS,
         if not blocks:
             break
         block = F.pmod(F.xxhash64("item_id", F.lit(seed + turn)), F.lit(blocks)).alias("block")
-        packed = rest.select(block, "item_id", "piece_no", "n_tokens").groupBy("block").applyInPandas(_pack(capacity), PACKED)
+        spread = rest.select(block, "item_id", "piece_no", "n_tokens").repartition(blocks, "block")  # a number, so that blocks stay apart
+        packed = spread.groupBy("block").applyInPandas(_pack(capacity), PACKED)
         packed = shared_checkpoint(packed)
         last = turn == rounds - 1 or blocks == 1
         settled = packed if last else packed.where(F.col("fill") >= FULL * capacity)
