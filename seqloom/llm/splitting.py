@@ -96,9 +96,9 @@ def range_end(window: str) -> tuple[int, int]:
 class Cutter:
     """The tokens of one range and its pieces."""
 
-    def __init__(self, text: str, vocabulary: str, limit: int, overlap: int, ids: bytes | None = None):
+    def __init__(self, text: str, vocabulary: str, limit: int, overlap: int):
         self.tok, self.limit, self.overlap = tokenizer(vocabulary), limit, overlap
-        self.ids = self.tok.ids(text) if ids is None else np.frombuffer(ids, np.int32)
+        self.ids = self.tok.ids(text)
         self.n = int(self.ids.size)
         self.data = text.encode()
         self.vocabulary = vocabulary
@@ -157,7 +157,7 @@ class Cutter:
 
 
 PIECES = (
-    "doc_id bigint, range_no int, in_range int, token_start bigint, token_end bigint, n_tokens int, n_repeated int, repeated_chars int, "
+    "doc_id bigint, range_no int, piece_no int, token_start bigint, token_end bigint, n_tokens int, n_repeated int, repeated_chars int, "
     "end_kind string, text string"
 )
 
@@ -182,7 +182,7 @@ def split_texts(
             range_chars + halo characters is one range.
 
     Returns:
-        ``doc_id``, ``piece_no`` (from 0), ``token_start`` and ``token_end`` (the tokens that the piece adds, as
+        ``doc_id``, ``range_no`` and ``piece_no`` (both from 0; piece_no in its range), ``token_start`` and ``token_end`` (the tokens that the piece adds, as
         offsets in the text), ``n_tokens`` (of the piece's own text), ``n_repeated`` and ``repeated_chars`` (what
         it repeats), ``end_kind`` ('paragraph',
         'sentence', 'word', 'character', or 'end' for the last one) and ``text``. Pieces without their repeated
@@ -228,41 +228,40 @@ def split_texts(
             for i, no, last, t in zip(*[c.to_pylist() for c in batch.columns]):
                 begin = range_end(t[:halo])[0] if no else 0
                 end, edge = range_end(t[range_chars:]) if not last else (len(t) - range_chars, -1)
-                own = t[begin : range_chars + end]
-                cutter = Cutter(own, vocabulary, limit, overlap)
+                end += range_chars
+                cutter = Cutter(t[begin:end], vocabulary, limit, overlap)
                 cutter.prepare()
                 tail = cutter.tail(cutter.n)
-                out.append((i, no, edge, own, cutter.ids.tobytes(), cutter.n, cutter.slice(tail, cutter.n), cutter.n - tail))
+                out.append((i, no, begin, end, edge, cutter.n, cutter.slice(tail, cutter.n), cutter.n - tail))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(names))
 
+    # One row a range, without its text.
+    table = ranges.mapInArrow(tabulate, "doc_id bigint, range_no int, begin int, end int, edge int, n bigint, tail string, n_tail int")
     order = Window.partitionBy("doc_id").orderBy("range_no")
-    stitched = ranges.mapInArrow(
-        tabulate, "doc_id bigint, range_no int, edge int, text string, ids binary, n bigint, tail string, n_tail int"
-    ).select(
-        "doc_id", "range_no", "edge", "text", "ids",
+    stitched = table.select(
+        "doc_id", "range_no", "begin", "end", "edge",
         F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
         F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
         F.coalesce(F.lag("tail").over(order), F.lit("")).alias("head"),
         F.coalesce(F.lag("n_tail").over(order), F.lit(0)).alias("n_head"),
-    )
-    stitched = stitched.where(F.col("total") > limit).drop("total")
+    ).where(F.col("total") > limit)
 
     def cut_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, no, edge, t, ids, before, head, n_head in zip(*[c.to_pylist() for c in batch.columns]):
-                cutter = Cutter(t, vocabulary, limit, overlap, ids)
+            for i, no, t, begin, end, edge, before, head, n_head, _ in zip(*[c.to_pylist() for c in batch.columns]):
+                cutter = Cutter(t[begin:end], vocabulary, limit, overlap)
                 cutter.prepare()
                 yield _rows(_numbered(i, no, before, cutter.pieces(head, n_head), edge))
 
-    large = stitched.mapInArrow(cut_ranges, PIECES)
-    numbered = large.withColumn("piece_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("range_no", "in_range")) - 1)
-    whole = small.mapInArrow(cut_small, PIECES).withColumn("piece_no", F.col("in_range"))
-    return whole.unionByName(numbered).select("doc_id", "piece_no", "token_start", "token_end", "n_tokens", "n_repeated", "repeated_chars", "end_kind", "text")
+    # The ranges' texts stay in the partitions in which they were tabulated; with all their columns, the shuffle is reused.
+    met = ranges.join(stitched, ["doc_id", "range_no"])
+    large = met.select("doc_id", "range_no", "text", "begin", "end", "edge", "before", "head", "n_head", "last").mapInArrow(cut_ranges, PIECES)
+    return small.mapInArrow(cut_small, PIECES).unionByName(large)
 
 
 #: The boundary table of a range.
-_TABLE = (("doc_id", pa.int64()), ("range_no", pa.int32()), ("edge", pa.int32()), ("text", pa.string()), ("ids", pa.binary()), ("n", pa.int64()), ("tail", pa.string()), ("n_tail", pa.int32()))
+_TABLE = (("doc_id", pa.int64()), ("range_no", pa.int32()), ("begin", pa.int32()), ("end", pa.int32()), ("edge", pa.int32()), ("n", pa.int64()), ("tail", pa.string()), ("n_tail", pa.int32()))
 
 
 def _numbered(doc, range_no, before, pieces, edge) -> list[tuple]:

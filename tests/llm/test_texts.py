@@ -158,8 +158,9 @@ def test_pieces(spark, sizes, limit, overlap):
     if sizes[0] == S.RANGE:
         assert set(by) == {i for i, n in enumerate(counts) if n > limit}
     for i, own in by.items():
-        own.sort(key=lambda r: r.piece_no)
-        assert [r.piece_no for r in own] == list(range(len(own)))
+        own.sort(key=lambda r: (r.range_no, r.piece_no))
+        for no in {r.range_no for r in own}:
+            assert [r.piece_no for r in own if r.range_no == no] == list(range(sum(r.range_no == no for r in own)))
         built, at = "", 0
         for r in own:
             assert tok.count(r.text) <= limit and r.n_tokens <= limit
@@ -167,7 +168,7 @@ def test_pieces(spark, sizes, limit, overlap):
             at = r.token_end
             assert built.endswith(r.text[: r.repeated_chars])
             built += r.text[r.repeated_chars :]
-            if r.piece_no:
+            if r is not own[0]:
                 assert overlap <= r.n_repeated <= overlap + 3
         assert built == TEXTS[i]
         assert own[-1].end_kind == "end"
