@@ -58,24 +58,71 @@ def _turned(words: DataFrame, finder: Finder) -> DataFrame:
     return words.select("pair_id", "j", each.alias("x")).select("pair_id", "j", "x.o", "x.word")
 
 
-def find_seeds(pairs: DataFrame, finder: Finder) -> DataFrame:
-    """All word pairs with at most the allowed mismatches: ``pair_id, i, j, o``.
+def _blocks(finder: Finder) -> list[tuple[int, int]]:
+    """Begin and length of the blocks of a word, one of which any acceptable match leaves unchanged."""
+    parts = finder.max_mismatches + 1
+    edges = [finder.min_length * p // parts for p in range(parts + 1)]
+    return [(edges[p], edges[p + 1] - edges[p]) for p in range(parts)]
 
-    ``pairs`` has ``pair_id``, ``s1`` and ``s2`` in upper case. Null sequences have no words.
-    """
+
+def _joined_seeds(pairs: DataFrame, finder: Finder) -> DataFrame:
+    """Seeds by equality joins on words or their blocks: for sequences of any length."""
     first = _words(pairs, "s1", finder.min_length, "i")
     second = _turned(_words(pairs, "s2", finder.min_length, "j"), finder)
     if finder.max_mismatches == 0:
         return first.join(second, ["pair_id", "word"]).select("pair_id", "i", "j", "o")
-    parts = finder.max_mismatches + 1
-    edges = [finder.min_length * p // parts for p in range(parts + 1)]
-    blocks = F.array(*[F.struct(F.lit(p).alias("no"), F.substring("word", edges[p] + 1, edges[p + 1] - edges[p]).alias("block")) for p in range(parts)])
+    blocks = F.array(*[F.struct(F.lit(no).alias("no"), F.substring("word", at + 1, n).alias("block")) for no, (at, n) in enumerate(_blocks(finder))])
     cut = lambda df, name: df.withColumn("b", F.explode(blocks)).select("*", "b.*").drop("b").withColumnRenamed("word", name)
     met = cut(first, "w1").join(cut(second, "w2"), ["pair_id", "no", "block"])
     good = met.where(mismatches("w1", "w2") <= finder.max_mismatches)
     return good.select("pair_id", "i", "j", "o").distinct()
 
 
+def _narrow_seeds(pairs: DataFrame, finder: Finder) -> DataFrame:
+    """The same seeds without a shuffle, for sequences whose words fit in a row: few words are in both sequences, and
+    the hashed intersection of the two rows' words finds them."""
+    w, looks = finder.min_length, [o for o, on in ((0, finder.check_forward), (1, finder.check_revcomp)) if on]
+    none = F.array().cast("array<int>")
+    places = lambda text: F.when(F.length(text) >= w, F.sequence(F.lit(0), F.length(text) - w)).otherwise(none)
+    rows = pairs.select("pair_id", "s1", "s2", places("s1").alias("at1"), places("s2").alias("at2"))
+    word2 = lambda j, o: (reverse_complement if o else lambda x: x)(F.substring(F.col("s2"), j + 1, F.lit(w)))
+    made = {}
+    for no, (at, n) in enumerate(_blocks(finder)):
+        made[f"a{no}"] = F.transform("at1", lambda i: F.substring(F.col("s1"), i + at + 1, F.lit(n)))
+        for o in looks:
+            made[f"b{no}_{o}"] = F.transform("at2", lambda j: F.substring(word2(j, o), F.lit(at + 1), F.lit(n)))
+    # A generator, so that the arrays are made once and not in every expression that uses them.
+    rows = rows.select("pair_id", "s1", "s2", "at1", "at2", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+
+    def where(places: str, words: str, key: Column) -> Column:
+        return F.filter(places, lambda i: F.get(words, i) == key)
+
+    def found(no: int, o: int) -> Column:
+        a, b = f"a{no}", f"b{no}_{o}"
+        return F.transform(F.array_intersect(a, b), lambda key: F.struct(F.lit(o).alias("o"), where("at1", a, key).alias("is"), where("at2", b, key).alias("js")))
+
+    seeds = F.concat(*[found(no, o) for no in range(finder.max_mismatches + 1) for o in looks])
+    met = rows.select("pair_id", "s1", "s2", F.explode(seeds).alias("x")).select("pair_id", "s1", "s2", "x.o", F.explode("x.is").alias("i"), "x.js")
+    met = met.select("pair_id", "s1", "s2", "o", "i", F.explode("js").alias("j"))
+    if finder.max_mismatches:
+        turned = F.when(F.col("o") == 1, word2(F.col("j"), 1)).otherwise(word2(F.col("j"), 0))
+        met = met.where(mismatches(F.substring(F.col("s1"), F.col("i") + 1, F.lit(w)), turned) <= finder.max_mismatches)
+        return met.select("pair_id", "i", "j", "o").distinct()
+    return met.select("pair_id", "i", "j", "o")
+
+
+def find_seeds(pairs: DataFrame, finder: Finder, narrow: int = 20_000) -> DataFrame:
+    """All word pairs with at most the allowed mismatches: ``pair_id, i, j, o``.
+
+    ``pairs`` has ``pair_id``, ``s1`` and ``s2`` in upper case. Null sequences have no words. Pairs of sequences of up
+    to ``narrow`` letters are searched within their rows, longer ones by joins; the seeds are the same.
+    """
+    if not (finder.check_forward or finder.check_revcomp):
+        return _joined_seeds(pairs, finder)
+    short = (F.length("s1") <= narrow) & (F.length("s2") <= narrow)
+    return _narrow_seeds(pairs.where(short), finder).unionByName(_joined_seeds(pairs.where(~short), finder))
+
+
 def _grow(a: Column, b: Column, most: Column, k: int, window1, window2) -> Column:
     """How many single steps are possible before the first window with more than k mismatches."""
     fits = lambda n: (window1(n) == window2(n)) if k == 0 else (mismatches(window1(n), window2(n)) <= k)

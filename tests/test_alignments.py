@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqloom.operators.alignments import Finder, find_between, find_within
+from seqloom.operators.alignments import Finder, find_between, find_seeds, find_within
 from seqloom.operators.gapped import Scoring, align_windows, extend_with_gaps
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -51,6 +51,14 @@ def pairs(seed, n):
     return out + [(n, None, "ACGT", 1), (n + 1, "ACG", "ACGTACGTAC", 1), (n + 2, "", "", 1), (None, "ACGTACGTAC", "ACGTACGTAC", 1)]
 
 
+@pytest.mark.parametrize("w,k", [(6, 0), (7, 2)])
+def test_seeds_within_rows_and_by_joins_are_the_same(spark, w, k):
+    df = spark.createDataFrame(pairs(5, 6), "pair_id int, s1 string, s2 string, i int").where("pair_id is not null")
+    finder = Finder(min_length=w, max_mismatches=k)
+    both = [sorted(map(tuple, find_seeds(df, finder, narrow).collect())) for narrow in (0, 20_000)]
+    assert both[0] == both[1] and both[0]
+
+
 @pytest.mark.parametrize("w,k", [(6, 0), (8, 1), (7, 2)])
 def test_between(spark, w, k):
     rows = pairs(w, 12)
