@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.sequence import mismatch_positions, mismatches, regions_overlap, reverse_complement
 
+#: Letters from which on few words of two short sequences are the same by chance.
+SELECTIVE = 6
 ORIENTATIONS = ("forward", "reverse_complement")
 
 
@@ -115,9 +117,11 @@ def find_seeds(pairs: DataFrame, finder: Finder, narrow: int = 20_000) -> DataFr
     """All word pairs with at most the allowed mismatches: ``pair_id, i, j, o``.
 
     ``pairs`` has ``pair_id``, ``s1`` and ``s2`` in upper case. Null sequences have no words. Pairs of sequences of up
-    to ``narrow`` letters are searched within their rows, longer ones by joins; the seeds are the same.
+    to ``narrow`` letters are searched within their rows, longer ones by joins; the seeds are the same. Short blocks,
+    which any two sequences share, are always joined.
     """
-    if not (finder.check_forward or finder.check_revcomp):
+    frequent = min(n for _, n in _blocks(finder)) < SELECTIVE
+    if frequent or not (finder.check_forward or finder.check_revcomp):
         return _joined_seeds(pairs, finder)
     short = (F.length("s1") <= narrow) & (F.length("s2") <= narrow)
     return _narrow_seeds(pairs.where(short), finder).unionByName(_joined_seeds(pairs.where(~short), finder))
