@@ -143,7 +143,7 @@ def flank_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = _elements(spark, sf)
     queries = rows.select(F.col("is_id").alias("query_id"), F.right("flanking_upstream.sequence", F.lit(60)).alias("query"))
     targets = _regions(spark, sf).select(F.concat_ws(":", "is_id", "region_no").alias("target_id"), F.col("seq").alias("sequence"))
-    return search_words(queries, targets, 16)
+    return search_words(queries, targets, 16).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -362,4 +362,29 @@ FROM cur LEFT JOIN c USING (is_id)""",
 k AS (SELECT query_id, unnest(list_reduce(coalesce(a, b), lambda acc, x: CASE WHEN x[1].s IS NOT NULL AND len(list_filter(acc, lambda y: len(list_filter(range(1, least(length(y.u), length(x[1].u)) + 1),
     lambda i: substr(y.u, i::INT, 1) = substr(x[1].u, i::INT, 1))) / greatest(length(y.u), length(x[1].u)) >= 0.3)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM g)
 SELECT query_id, k.h AS hit_id, length(coalesce(k.s, ''))::DOUBLE AS bit_score, k.s AS sequence FROM k""",
+    "annotated_features": _ALIGNED
+    + """, z AS (SELECT *, coalesce(length(flanking_upstream.sequence), 0) AS up, coalesce(length(is_element.sequence), 0) AS own, coalesce(length(flanking_downstream.sequence), 0) AS down FROM cur),
+o AS (SELECT is_id, up, unnest(orf_annotation.orfs) AS x FROM z), r AS (SELECT is_id, up, unnest(orf_annotation.noncoding_regions) AS x FROM z),
+d AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY is_id, flanking_source, ncs, pos2, n, orientation ORDER BY region_index, pos1) = 1),
+b AS (SELECT d.*, up, own, down, 'aln_' || flanking_source || '_' || n || 'bp_' AS lab, 'orientation=' || orientation || '; flanking_source=' || flanking_source AS note FROM d JOIN z USING (is_id))
+SELECT is_id, 'misc_feature' AS feature_type, 0::BIGINT AS feature_start, up::BIGINT AS feature_end, 0 AS strand, 'upstream_flanking' AS label, up || 'bp upstream flanking region' AS note, NULL AS translation FROM z WHERE up > 0
+UNION ALL SELECT is_id, 'misc_feature', up + own, up + own + down, 0, 'downstream_flanking', down || 'bp downstream flanking region', NULL FROM z WHERE down > 0
+UNION ALL SELECT is_id, 'misc_feature', up, up + own, 0, is_id, own || 'bp IS element', NULL FROM z
+UNION ALL SELECT is_id, 'CDS', up + x.start - 1, up + x."end", CASE WHEN coalesce(x.strand, '+') = '+' THEN 1 ELSE -1 END, coalesce(x.orf_id, ''), coalesce(x.length_aa, 0) || 'aa', nullif(x.protein_sequence, '') FROM o WHERE x IS NOT NULL
+UNION ALL SELECT is_id, 'misc_feature', up + x.start - 1, up + x."end", 0, coalesce(x.type, 'noncoding'), (x."end" - x.start + 1) || 'bp noncoding region', NULL FROM r WHERE x IS NOT NULL
+UNION ALL SELECT is_id, 'misc_binding', up + ncs - 1 + pos2, up + ncs - 1 + pos2 + n, 0, lab || 'nc', note, NULL FROM b
+UNION ALL SELECT is_id, 'misc_binding', CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1, CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1 + n, 0, lab || 'flank', note, NULL FROM b
+  WHERE CASE flanking_source WHEN 'upstream' THEN up ELSE down END > 0""",
+    "flank_search": _REGIONS
+    + f""", q0 AS (SELECT is_id AS query_id, upper(right(flanking_upstream.sequence, 60)) AS q FROM cur),
+q AS (SELECT query_id, 1 AS strand, q FROM q0 UNION ALL SELECT query_id, -1, {_RC.format('q')} FROM q0),
+t AS (SELECT is_id || ':' || region_no AS target_id, u AS t FROM reg),
+qw AS (SELECT query_id, strand, i, substr(q, i::INT + 1, 16) AS k FROM (SELECT *, unnest(range(length(q) - 15)) AS i FROM q WHERE length(q) >= 16)),
+tw AS (SELECT target_id, j, substr(t, j::INT + 1, 16) AS k FROM (SELECT *, unnest(range(length(t) - 15)) AS j FROM t WHERE length(t) >= 16)),
+l AS (SELECT DISTINCT query_id, strand, target_id, j - i AS shift FROM qw JOIN tw USING (k)),
+x AS (SELECT *, greatest(-shift, 0) AS b FROM l JOIN q USING (query_id, strand) JOIN t USING (target_id)),
+y AS (SELECT *, least(length(q) - b, length(t) - b - shift) AS n FROM x),
+z AS (SELECT *, len(list_filter(range(1, n + 1), lambda p: substr(q, (b + p)::INT, 1) = substr(t, (b + shift + p)::INT, 1))) AS m FROM y)
+SELECT query_id, target_id, strand, (b + 1)::INT AS query_start, (b + n)::INT AS query_end, (b + shift + 1)::INT AS target_start, (b + shift + n)::INT AS target_end, m::INT AS matches, round(m / n, 6) AS identity, round(n / length(q), 6) AS coverage
+FROM z WHERE m / n >= 0.8 AND n / length(q) >= 0.15""",
 }

@@ -214,4 +214,9 @@ UNION ALL SELECT key, 'orfs', n FROM orf WHERE x IS NOT NULL""",
     "p5_coverage": _P5
     + """SELECT seqid, count(*) FILTER (span_kind = 'period') AS n_periods, count(*) FILTER (span_kind = 'gap') AS n_gaps,
   (sum(span_end - span_start + 1) FILTER (span_kind = 'period'))::BIGINT AS covered, coalesce(sum(span_end - span_start + 1) FILTER (span_kind = 'gap'), 0)::BIGINT AS uncovered FROM spans GROUP BY seqid""",
+    "p2_hits": f"""WITH bad AS ({_P2_FOUND}), l AS (SELECT raw_id, regexp_replace(line_text, '\\r$', '') AS t FROM raw_lines WHERE line_format = 'm8' AND line_text IS NOT NULL),
+c AS (SELECT * FROM l WHERE NOT starts_with(t, '#') AND regexp_matches(t, '\\S') AND raw_id NOT IN (SELECT raw_id FROM bad)),
+f AS (SELECT raw_id, list_transform(regexp_extract_all(t, '(?:^|\\t)("(?:[^"]|"")*"|[^\\t]*)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS a FROM c)
+SELECT raw_id, a[1] AS query_id, a[2] AS subject_id, a[3]::DOUBLE AS pident, a[4]::BIGINT AS alignment_length, a[5]::BIGINT AS mismatches, a[6]::BIGINT AS gap_opens, a[7]::BIGINT AS query_start,
+  a[8]::BIGINT AS query_end, a[9]::BIGINT AS subject_start, a[10]::BIGINT AS subject_end, a[11]::DOUBLE AS evalue, a[12]::DOUBLE AS bitscore FROM f""",
 }
