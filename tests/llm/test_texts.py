@@ -97,7 +97,9 @@ def test_fit_budget_hits_large_budgets():
         assert 0 <= budget - int((taken * lengths).sum()) <= 4 + (part == 0.0)
 
 
-def test_mixture(spark):
+@pytest.mark.parametrize("buckets", [2, 4096])
+def test_mixture(spark, monkeypatch, buckets):
+    monkeypatch.setattr(M, "BUCKETS", buckets)  # few: the ranked bucket of a length holds many documents
     draw = random.Random(4)
     docs, i = [], 0
     for source, n in (("a", 900), ("b", 40), ("c", 300), ("untargeted", 10)):
