@@ -209,3 +209,15 @@ def test_listed_regions(spark, folder, tmp_path):
     contigs = spark.createDataFrame([("ctg_1", "ACGTACGTACGTACGTACGTAAACCCGGGTTT")], "contig_id string, sequence string")
     found = W.listed_regions(listed, genes, contigs, 5, 5).collect()
     assert [(r.protein_id, r.coding.sequence) for r in found] == [("ctg_1_2", "CCGGGTTTA")]
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(datetime(2030, 1, 1, 0, 5), "s", 3.0), (datetime(2030, 1, 1, 0, 50), "s", 9.0), (datetime(2030, 1, 1, 1, 1), "s", 1.0), (datetime(2030, 1, 1, 0, 1), "t", None)]
+    spark.createDataFrame(rows, "seen timestamp, subject_id string, bitscore double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("seen timestamp, subject_id string, bitscore double").parquet(str(tmp_path / "in"))
+    windows = T.hits_per_window(stream, "seen", "1 hour", "10 minutes")
+    windows.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
+    found = {(r.window.start.hour, r.subject_id, r.n_hits, r.best_bitscore) for r in spark.table("windows").collect()}
+    assert found == {(0, "s", 2, 9.0), (1, "s", 1, 1.0), (0, "t", 1, None)}
