@@ -39,6 +39,8 @@ class Finder:
             raise ValueError("min_length must be positive, max_mismatches and min_distance not negative")
         if self.max_mismatches >= self.min_length:
             raise ValueError("max_mismatches must be less than min_length")
+        if not (self.check_forward or self.check_revcomp):
+            raise ValueError("at least one orientation must be checked")
         if self.max_distance is not None and self.max_distance < self.min_distance:
             raise ValueError("max_distance must not be less than min_distance")
 
@@ -54,9 +56,7 @@ def _words(pairs: DataFrame, text: str, width: int, at: str) -> DataFrame:
 def _turned(words: DataFrame, finder: Finder) -> DataFrame:
     """The second sequence's words as they must look in the first one, for each orientation."""
     looks = [(o, c) for o, c, on in ((0, F.col("word"), finder.check_forward), (1, reverse_complement("word"), finder.check_revcomp)) if on]
-    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), c.alias("word")) for o, c in looks])) if looks else None
-    if each is None:
-        return words.select("pair_id", "j", F.lit(0).alias("o"), "word").limit(0)
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), c.alias("word")) for o, c in looks]))
     return words.select("pair_id", "j", each.alias("x")).select("pair_id", "j", "x.o", "x.word")
 
 
@@ -121,7 +121,7 @@ def find_seeds(pairs: DataFrame, finder: Finder, narrow: int = 20_000) -> DataFr
     which any two sequences share, are always joined.
     """
     frequent = min(n for _, n in _blocks(finder)) < SELECTIVE
-    if frequent or not (finder.check_forward or finder.check_revcomp):
+    if frequent:
         return _joined_seeds(pairs, finder)
     short = (F.length("s1") <= narrow) & (F.length("s2") <= narrow)
     return _narrow_seeds(pairs.where(short), finder).unionByName(_joined_seeds(pairs.where(~short), finder))

@@ -84,7 +84,7 @@ def test_within(spark):
 
 
 def test_wrong_settings():
-    for bad in ({"min_length": 0}, {"max_mismatches": -1}, {"min_length": 3, "max_mismatches": 3}, {"min_distance": 5, "max_distance": 4}):
+    for bad in ({"min_length": 0}, {"max_mismatches": -1}, {"min_length": 3, "max_mismatches": 3}, {"min_distance": 5, "max_distance": 4}, {"check_forward": False, "check_revcomp": False}):
         with pytest.raises(ValueError):
             Finder(**bad)
 
@@ -131,3 +131,58 @@ def test_extension_over_a_gap(spark):
     assert out[1].alignment_length == out[1].matches + out[1].mismatches + out[1].gaps
     assert (out[2].gaps, out[2].matches) == (3, 28)
     assert out[3] is None and out[4] is None
+
+
+# Known inputs and their published or independently worked out results.
+WITHIN = [
+    ("ACGTACGTACNNNNACGTACGTAC", Finder(9), [(0, 14, 10, "f", 0)]),
+    ("acgtacgtacnnnnacgtacgtac", Finder(9), [(0, 14, 10, "f", 0)]),
+    ("ACGTACGTACGTNNNNACGTACGTACGT", Finder(9, check_revcomp=False), [(0, 16, 12, "f", 0)]),
+    ("ACGTACGTACNNNNACGTGCGTAC", Finder(8, 1), [(0, 14, 8, "r", 1), (0, 14, 10, "f", 1)]),
+    ("ACGTACGTACNNNNACGTGCGTAC", Finder(9, 1), [(0, 14, 10, "f", 1)]),
+    ("ACGTACGTACNNNNACATACATAC", Finder(9, 2), [(0, 14, 10, "f", 2)]),
+    ("ACGT", Finder(9), []),
+]
+BETWEEN = [
+    ("ATGCATGCACGTACGTACNNNN", "NNNNACGTACGTACGCTAGCTA", [(8, 4, 10, "f", 0), (9, 6, 9, "r", 0)]),
+    ("ACGT" * 4, "NNNNN" + "ACGT" * 4 + "NNNNN", [(0, 5, 16, "f", 0), (0, 8, 9, "r", 0)]),
+    ("GCTAGCTAGCTAGCTA", "AAAAGCTAGCTAGCTAGCTAAAAA", [(0, 4, 16, "f", 0), (0, 5, 9, "r", 0)]),
+]
+SPACERS = [
+    ("AAACGAACCACCUUCAUUCGAGUACAAGAGCA", "AAGCGTACAACGTTTATCCGAGTTCAAGAGCA", (25, 7, 0, 32)),
+    ("AAAUUUACAUCUCCAGGCUCAGCCAAAAAGC", "AAATTAACGTCGCCAGGTTCAGCTAAAAAAC", (25, 6, 0, 31)),
+    ("AGGACAGGAAGAAAACACCCAAGUUGGG", "AGGACCGGAAGGTAGCAGCCAAGGCGGG", (21, 7, 0, 28)),
+    ("AAAAACAAUCGAUUCGAUGUUUAAGUUAA", "AAAAAGAACCGTTTTGATGTCTATGTAAA", (22, 7, 0, 29)),
+]
+
+
+def short(rows):
+    return sorted((r.pos1, r.pos2, r.length, r.orientation[0], r.mismatches) for r in rows)
+
+
+def test_known_alignments(spark):
+    for seq, finder, expected in WITHIN:
+        found = find_within(spark.createDataFrame([(1, seq)], "pair_id int, seq string"), finder).collect()
+        assert short(found) == expected
+    for s1, s2, expected in BETWEEN:
+        found = find_between(spark.createDataFrame([(1, s1, s2)], "pair_id int, s1 string, s2 string"), Finder(9)).collect()
+        assert set(expected) <= set(short(found))
+
+
+def test_known_gapped_alignments(spark):
+    from pyspark.sql import functions as F
+
+    from seqloom.functions.sequence import to_dna
+    from seqloom.operators.analytics import best_per_group
+
+    rows = [(i, a, b) for i, (a, b, _) in enumerate(SPACERS)]
+    pairs_ = spark.createDataFrame(rows, "pair_id int, s1 string, s2 string").withColumns({"s1": to_dna("s1"), "s2": to_dna("s2")})
+    seeds = best_per_group(find_between(pairs_, Finder(8, 2)), ["pair_id"], [F.col("pos1"), F.col("pos2"), F.desc("length")], 3)
+    made = extend_with_gaps(seeds.join(pairs_, "pair_id"), 0.7, 40).where("gapped is not null")
+    best = best_per_group(made.drop("rank"), ["pair_id"], [F.desc("gapped.identity"), F.col("pos1")], 1)
+    found = {r.pair_id: (r.gapped.matches, r.gapped.mismatches, r.gapped.gaps, r.gapped.alignment_length) for r in best.collect()}
+    assert found == {i: x for i, (_, _, x) in enumerate(SPACERS)}
+    one = spark.createDataFrame([("ACGT" * 4, "ACGTACGTNNNACGTACGT", 0, 0, 8, "forward")], "s1 string, s2 string, pos1 int, pos2 int, length int, orientation string")
+    g = extend_with_gaps(one, 0.75).first().gapped
+    assert (g.matches, g.mismatches, g.gaps, g.alignment_length, round(g.identity, 3)) == (16, 0, 3, 19, 0.842)
+    assert (g.seq1_aligned, g.seq2_aligned) == ("ACGTACGT---ACGTACGT", "ACGTACGTNNNACGTACGT")

@@ -221,3 +221,14 @@ def test_windows_of_a_stream(spark, tmp_path):
     windows.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
     found = {(r.window.start.hour, r.subject_id, r.n_hits, r.best_bitscore) for r in spark.table("windows").collect()}
     assert found == {(0, "s", 2, 9.0), (1, "s", 1, 1.0), (0, "t", 1, None)}
+
+
+def test_known_regions(spark):
+    contigs = spark.createDataFrame([("test_contig_1", "ATGC" * 250)], "contig_id string, sequence string")
+    cases = [(100, 200, 1, 50, 50, (50, 99, 50), (201, 250, 50)), (100, 200, -1, 50, 50, (201, 250, 50), (50, 99, 50)), (1, 100, 1, 500, 50, (1, 0, 0), (101, 150, 50)), (900, 1000, 1, 50, 500, (850, 899, 50), (1001, 1000, 0))]
+    for start, end, strand, up, down, expected_up, expected_down in cases:
+        genes = spark.createDataFrame([("test_contig_1", start, end, strand)], "contig_id string, start bigint, end bigint, strand int")
+        r = extract_regions(genes, contigs, up, down).first()
+        assert (r.upstream.start, r.upstream.end, r.upstream.length) == expected_up
+        assert (r.downstream.start, r.downstream.end, r.downstream.length) == expected_down
+        assert r.coding.length == end - start + 1
