@@ -98,3 +98,15 @@ def test_summary(spark):
     assert (s.total, s.passed, s.failed, s.by_high, s.by_low, s.by_rejected) == (4, 2, 2, 1, 1, 2)
     assert (s.failed_length_hard_cutoff, s.failed_homopolymer, s.failed_dinucleotide) == (1, 1, 0)
     assert P.summarise(P.apply_filters(df.limit(0), pipeline), pipeline).first().total == 0
+
+
+def test_known_verdicts(spark):
+    only = P.Pipeline().add("statistical_significance", P.Level.LENGTH)
+    v = judge(spark, only, ("ACGTACGTA", 0, 0, "", 100, 500), ("ACGTACGTA", 0, 0, "", 11, 11), ("ACGTACGTAC", 0, 0, "", 50, 200))
+    assert [x.metrics.search_space for x in v] == [92 * 492, 9, 7831]
+    assert [x["pass"] for x in v] == [False, True, True] and v[1].confidence == "low"
+    inside = lambda s: (s, 0, 0, "", None, None, 120, 150, 100, 200)
+    assert [x["pass"] for x in judge(spark, P.default_pipeline(), inside("ACGT" * 4), inside("ACGTACGT"))] == [True, True]
+    assert judge(spark, P.legacy_pipeline(), inside("ACGT" * 4))[0]["pass"]
+    row = one(spark, a=S.reverse_complement(F.lit("RYWSMK")), b=S.reverse_complement(F.lit("ATgc")), c=X.evalue_to_pvalue(F.lit(0.0)), d=X.evalue_to_pvalue(F.lit(10.0)), e=S.gap_opens(F.lit("   ")), f=S.gap_opens(F.lit("")), g=S.contig_or_empty(F.lit("contig_name_test_456")), h=S.contig_of(F.lit("contig_name"), when_numeric=True))
+    assert (row.a, row.b, row.c, row.e, row.f, row.g, row.h) == ("MKSWRY", "gcAT", 0.0, 1, 0, "contig_name_test", "contig_name") and row.d > 0.999
