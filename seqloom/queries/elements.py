@@ -178,7 +178,7 @@ def transposition_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def guide_candidates_by_element(spark: SparkSession, sf: str) -> DataFrame:
     found = candidates_by_element(guide_candidates(_elements(spark, sf)))
-    return found.select("is_id", "n_candidates", F.transform("alignments", lambda a: a["length"]).alias("lengths"))
+    return found.select("is_id", "n_candidates", F.array_join(F.transform("alignments", lambda a: a["length"].cast("string")), ",").alias("lengths"))
 
 
 def diagram_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +297,7 @@ rec AS (SELECT is_id AS id, coalesce(is_element.sequence, '') AS sequence FROM c
 
 ORACLES = {
     "guide_candidates_by_element": _DEFAULT
-    + "SELECT is_id, count(*) AS n_candidates, list(n ORDER BY flanking_source, region_index, pos1, pos2, n, orientation) AS lengths FROM j WHERE pass GROUP BY is_id",
+    + "SELECT is_id, count(*) AS n_candidates, string_agg(n::VARCHAR, ',' ORDER BY flanking_source, region_index, pos1, pos2, n, orientation) AS lengths FROM j WHERE pass GROUP BY is_id",
     "diagram_features": _CUR
     + """, z AS (SELECT *, coalesce(flanking_upstream.length, 0) AS up, coalesce(is_element.length, 0) AS own, coalesce(flanking_downstream.length, 0) AS down FROM cur),
 o AS (SELECT is_id, up, unnest(orf_annotation.orfs) AS x FROM z), r AS (SELECT is_id, up, unnest(orf_annotation.noncoding_regions) AS x FROM z)

@@ -47,7 +47,13 @@ def p2_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = _parsed(spark, sf).where("outcome = 'record' and line_format = 'gff'")
-    return rows.select(F.col("line_id").alias("raw_id"), "feature.*")
+    return rows.select(F.col("line_id").alias("raw_id"), "feature.*").withColumn("n_attributes", F.size("attributes")).drop("attributes")
+
+
+def p2_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _parsed(spark, sf).where("outcome = 'record' and line_format = 'gff'")
+    rows = rows.select(F.col("line_id").alias("raw_id"), F.posexplode("feature.attributes").alias("place", "a"))
+    return rows.select("raw_id", "place", "a.key", "a.value")
 
 
 # Problem 3
@@ -129,6 +135,7 @@ QUERIES = {
     "p2_errors": p2_errors,
     "p2_hits": p2_hits,
     "p2_features": p2_features,
+    "p2_attributes": p2_attributes,
     "p3_found": p3_found,
     "p3_elements": _shredded("is_element"),
     "p3_upstream": _shredded("flanking_upstream"),
@@ -175,6 +182,11 @@ SELECT raw_id FROM c WHERE NOT coalesce(CASE line_format
   WHEN 'gff' THEN len(string_split(t, chr(9))) = 9 AND regexp_matches(t, '{_GFF}') AND try_cast(split_part(t, chr(9), 4) AS HUGEINT) >= 1
     AND try_cast(split_part(t, chr(9), 4) AS HUGEINT) <= try_cast(split_part(t, chr(9), 5) AS HUGEINT) END, false)"""
 
+_P2_FEATURES = f"""WITH bad AS ({_P2_FOUND}), l AS (SELECT raw_id, regexp_replace(line_text, '\\r$', '') AS t FROM raw_lines WHERE line_format = 'gff' AND line_text IS NOT NULL),
+c AS (SELECT raw_id, string_split(t, chr(9)) AS f FROM l WHERE NOT starts_with(t, '#') AND regexp_matches(t, '\\S') AND raw_id NOT IN (SELECT raw_id FROM bad)),
+i AS (SELECT *, CASE WHEN f[9] = '.' THEN [] ELSE list_filter(list_transform(regexp_extract_all(f[9], '(?:[^;"]|"[^"]*")+'), lambda x: trim(x, ' ')), lambda x: x <> '') END AS items FROM c)
+"""
+
 _P4 = f"""WITH refs AS (SELECT 'diamond_hits' AS ref_table, hit_id, {_ID.format('protein_id')} AS key, loaded_at AS seen FROM diamond_hits
   UNION SELECT 'hmm_hits', hit_id, {_ID.format('protein_id')}, loaded_at FROM hmm_hits),
 p AS (SELECT DISTINCT {_ID.format('protein_id')} AS key, loaded_at AS f, removed_at AS t FROM proteins),
@@ -219,4 +231,10 @@ c AS (SELECT * FROM l WHERE NOT starts_with(t, '#') AND regexp_matches(t, '\\S')
 f AS (SELECT raw_id, list_transform(regexp_extract_all(t, '(?:^|\\t)("(?:[^"]|"")*"|[^\\t]*)', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS a FROM c)
 SELECT raw_id, a[1] AS query_id, a[2] AS subject_id, a[3]::DOUBLE AS pident, a[4]::BIGINT AS alignment_length, a[5]::BIGINT AS mismatches, a[6]::BIGINT AS gap_opens, a[7]::BIGINT AS query_start,
   a[8]::BIGINT AS query_end, a[9]::BIGINT AS subject_start, a[10]::BIGINT AS subject_end, a[11]::DOUBLE AS evalue, a[12]::DOUBLE AS bitscore FROM f""",
+    "p2_features": _P2_FEATURES
+    + """SELECT raw_id, f[1] AS seqid, f[2] AS source, f[3] AS feature_type, f[4]::BIGINT AS start, f[5]::BIGINT AS "end", CASE WHEN f[6] <> '.' THEN f[6]::DOUBLE END AS score, f[7] AS strand,
+  CASE WHEN f[8] <> '.' THEN f[8]::INT END AS phase, len(items)::INT AS n_attributes FROM i""",
+    "p2_attributes": _P2_FEATURES
+    + r"""SELECT raw_id, place, regexp_extract(x, '^([^\s="]+)', 1) AS key, CASE WHEN regexp_matches(x, '^[^\s="]+=') THEN regexp_extract(x, '^[^\s="]+=(.*)$', 1) ELSE regexp_extract(x, '"([^"]*)"$', 1) END AS value
+FROM (SELECT raw_id, unnest(items) AS x, (generate_subscripts(items, 1) - 1)::INT AS place FROM i)""",
 }
