@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.common import shared_checkpoint
+
 MAX_SHARDS = 256
 
 
@@ -44,7 +46,8 @@ def merge_intervals(
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
 
-    pieces = _clip(rows, keys, _cuts(rows, keys, rows_per_shard))
+    # The cuts are approximate quantiles; kept, so that every use of them sees the same ones.
+    pieces = _clip(rows, keys, shared_checkpoint(_cuts(rows, keys, rows_per_shard)))
     islands = _merge_sorted(pieces, [*keys, "shard", "sharded"])
 
     # Level 1: what lies inside one shard.
