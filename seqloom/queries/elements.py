@@ -14,6 +14,7 @@ from seqloom.operators.gapped import extend_with_gaps
 from seqloom.operators.locate import with_genomic_sequence, with_target_sequence
 from seqloom.operators.regions import extract_regions
 from seqloom.operators.search import deduplicate_hits, search_words
+from seqloom.operators.segments import search_segments
 from seqloom.plans.workflows import candidates_by_element, guide_candidates
 from seqloom.sources.sinks import arc_features, deduplicated_alignments, element_features, flat_file
 
@@ -146,6 +147,14 @@ def flank_search(spark: SparkSession, sf: str) -> DataFrame:
     return search_words(queries, targets, 16).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
 
 
+def flank_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Both whole flanks of every element, searched in all regions; a query is named by its element and side."""
+    sides = [F.struct(F.lit(side).alias("side"), F.col(f"flanking_{side}.sequence").alias("query")) for side in ("upstream", "downstream")]
+    queries = _elements(spark, sf).select("is_id", F.explode(F.array(*sides)).alias("x")).select(F.concat_ws(":", "is_id", "x.side").alias("query_id"), "x.query")
+    targets = _regions(spark, sf).select(F.concat_ws(":", "is_id", "region_no").alias("target_id"), F.col("seq").alias("sequence"))
+    return search_segments(queries, targets).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
+
+
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = _elements(spark, sf)
     found = deduplicated_alignments(element_alignments(rows), F.col("region_index"), F.col("pos1"))
@@ -210,6 +219,7 @@ QUERIES = {
     "guide_counts": guide_counts,
     "region_dedup": region_dedup,
     "flank_search": flank_search,
+    "flank_segments": flank_segments,
     "annotated_features": annotated_features,
     "annotated_records": annotated_records,
     "diagram_arcs": diagram_arcs,

@@ -1,11 +1,19 @@
 """Local search by segments, beside a plain model."""
 
+import os
 import random
 from fractions import Fraction
 
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.common import table
+from seqloom.operators.elements import newest_elements
 from seqloom.operators.search import search_words
 from seqloom.operators.segments import search_segments
+from seqloom.queries.elements import QUERIES
 
+SMALL = "/root/testdata/sf0.01"
 TURN = str.maketrans("ACGT", "TGCA")
 
 
@@ -65,3 +73,21 @@ def test_interior_match(spark):
     t = spark.createDataFrame([("t", "G" * 15 + core + "G" * 15)], "target_id string, sequence string")
     assert search_words(q, t).count() == 0
     assert [tuple(r) for r in search_segments(q, t).collect()] == [("q", "t", 1, 16, 45, 16, 45, 30, 1.0, 0.5)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_whole_flanks(spark):
+    """Every flank and region that share 30 letters are met, wherever in the flank; both sides are searched."""
+    rows = newest_elements(table(spark, SMALL, "is_elements")).select(
+        "is_id", F.col("flanking_upstream.sequence").alias("upstream"), F.col("flanking_downstream.sequence").alias("downstream"), F.col("orf_annotation.noncoding_regions").alias("regions")
+    ).collect()
+    regions = {f"{r.is_id}:{n}": x.sequence.upper() for r in rows for n, x in enumerate(r.regions or []) if x and x.sequence}
+    shared = set()
+    for r in rows:
+        for side in ("upstream", "downstream"):
+            flank = (r[side] or "").upper()
+            parts = {flank[i : i + 30] for i in range(len(flank) - 29)}
+            parts = {p for p in parts if not set(p) - set("ACGT")}
+            shared |= {(f"{r.is_id}:{side}", t) for t, u in regions.items() if any(p in u for p in parts)}
+    found = {(r.query_id, r.target_id) for r in QUERIES["flank_segments"](spark, SMALL).collect()}
+    assert {q.rpartition(":")[2] for q, _ in found} == {"upstream", "downstream"} and shared and shared <= found
