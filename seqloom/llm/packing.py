@@ -21,10 +21,6 @@ BLOCK_ITEMS = 20_000
 ROUNDS = 3
 #: A container that is filled less than this leaves its block for the next round.
 FULL = 0.995
-#: The most containers that the search of a block looks at; the emptiest ones. Others stay as they are.
-SEARCHED = 1_000
-#: Givers in a row that can't be emptied before a search ends.
-PATIENCE = 20
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -45,27 +41,55 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, searched: int = SEARCHED, patience: int = PATIENCE) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Empties bins by moves and exchanges that raise the sum of squared fills; never makes a bin overfull.
 
-    The emptiest bin gives first. A giver that can't be emptied keeps what it has got; after ``patience`` of them in
-    a row, each fuller than the last, the search ends.
+    The emptiest bin gives first. All underfull bins give and take, again and again, until a whole pass changes nothing.
+    Bins that hold the same sizes are looked at once.
     """
     held = [sorted((sizes[i], i) for i in b) for b in bins]
     fill = [sum(s for s, _ in b) for b in held]
-    active = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: (fill[b], b))[:searched]
-    failed = 0
-    for giver in active:
-        others = [b for b in active if b != giver and held[b]]
-        moved = True
-        while held[giver] and moved:
-            moved = any(_step(held, fill, capacity, giver, item, others) for item in held[giver][::-1])
-        failed = failed + 1 if held[giver] else 0
-        if failed >= patience:
-            break
+    kinds: dict[tuple[int, ...], dict[int, None]] = {}  # sizes held to underfull bins
+    for b in range(len(bins)):
+        _enter(kinds, held, fill, capacity, b)
+    changed = True
+    while changed:
+        changed = False
+        stuck: set[tuple[int, ...]] = set()  # since the last change
+        for giver in sorted((b for own in kinds.values() for b in own), key=lambda b: (fill[b], b)):
+            kind = _kind(held[giver])
+            if kind not in kinds or kind in stuck:
+                continue
+            _leave(kinds, held, giver)
+            moved = True
+            while held[giver] and moved:
+                moved = any(_step(held, fill, capacity, giver, item, kinds) for item in dict((x[0], x) for x in held[giver][::-1]).values())
+                if moved:
+                    changed = True
+                    stuck.clear()
+            kind = _kind(held[giver])
+            if kind in kinds:  # so it was tried with its like, too
+                stuck.add(kind)
+            _enter(kinds, held, fill, capacity, giver)
     return [[i for _, i in b] for b in held if b]
 
 
+def _kind(items: list[tuple[int, int]]) -> tuple[int, ...]:
+    return tuple(s for s, _ in items)
+
+
+def _enter(kinds, held, fill, capacity, b) -> None:
+    if 0 < fill[b] < capacity:
+        kinds.setdefault(_kind(held[b]), {})[b] = None
+
+
+def _leave(kinds, held, b) -> None:
+    own = kinds[_kind(held[b])]
+    del own[b]
+    if not own:
+        del kinds[_kind(held[b])]
+
+
 def _exchange(own: list[tuple[int, int]], item: tuple[int, int], theirs: list[tuple[int, int]], room: int):
     """Of all ways to bring ``item`` into a bin with that room the one that fills it most: (growth, in, out)."""
     size = item[0]
@@ -95,12 +119,13 @@ def _exchange(own: list[tuple[int, int]], item: tuple[int, int], theirs: list[tu
     return best
 
 
-def _step(held, fill, capacity, giver, item, others) -> bool:
+def _step(held, fill, capacity, giver, item, kinds) -> bool:
     """The one change that takes ``item`` out of the giver and raises the squared fill most, if any does."""
     most, chosen = 0, None
-    for b in others:
+    for own in kinds.values():
+        b = next(iter(own))
         room = capacity - fill[b]
-        if room and held[b] and room * (fill[b] - fill[giver] + room) > most:
+        if room * (fill[b] - fill[giver] + room) > most:
             grow, there, back = _exchange(held[giver], item, held[b], room)
             gain = grow * (fill[b] - fill[giver] + grow)
             if grow and gain > most:
@@ -108,12 +133,14 @@ def _step(held, fill, capacity, giver, item, others) -> bool:
     if chosen is None:
         return False
     b, grow, there, back = chosen
+    _leave(kinds, held, b)
     for source, target, items in ((giver, b, there), (b, giver, back)):
         for x in items:
             held[source].remove(x)
             insort(held[target], x)
     fill[giver] -= grow
     fill[b] += grow
+    _enter(kinds, held, fill, capacity, b)
     return True
 
 

@@ -57,6 +57,13 @@ def test_local_search_empties_a_bin_by_exchanges():
     assert sum(sizes[i] ** 1 for b in found for i in b) == 150 and max(sum(sizes[i] for i in b) for b in found) == 105
 
 
+def test_local_search_looks_at_all_bins():
+    """1,200 bins that can't change come first; then 60 takes the place of 58."""
+    sizes = [51] * 1200 + [60, 35, 58, 37]
+    found = P.local_search([*([i] for i in range(1200)), [1200, 1201], [1202, 1203]], sizes, 100)
+    assert sorted(sum(sizes[i] for i in b) for b in found)[1200:] == [93, 97]
+
+
 def test_local_search_never_lowers_the_squared_fill():
     draw = random.Random(0)
     for _ in range(50):
