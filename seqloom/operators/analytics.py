@@ -48,6 +48,13 @@ def best_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def with_alignment_columns(alignments: DataFrame) -> DataFrame:
+    """``identity`` (share of equal letters) and the quality bands: ``is_exact`` (no mismatch, 12 letters or more) and
+    ``is_short`` (9 to 15 letters, at most one mismatch); an alignment may be in both."""
+    n, wrong = F.col("length"), F.col("mismatches")
+    return alignments.withColumns({"identity": 1 - wrong / n, "is_exact": (wrong == 0) & (n >= 12), "is_short": n.between(9, 15) & (wrong <= 1)})
+
+
 def with_hit_columns(hits: DataFrame) -> DataFrame:
     """The usual derived columns of located hits.
 

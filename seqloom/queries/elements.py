@@ -9,6 +9,7 @@ from seqloom.common import table
 from seqloom.functions import sequence as S
 from seqloom.operators import filters as P
 from seqloom.operators.alignments import Finder, find_between, find_within
+from seqloom.operators.analytics import describe, with_alignment_columns
 from seqloom.operators.elements import element_alignments, element_pairs, filter_inputs, newest_elements, process_elements
 from seqloom.operators.gapped import extend_with_gaps
 from seqloom.operators.locate import with_genomic_sequence, with_target_sequence
@@ -94,6 +95,24 @@ def guide_alignments_mismatched(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("is_id", "flanking_source", "region_index", "pos1", "pos2", "length", "orientation", "mismatches")
 
 
+def _banded(rows: DataFrame) -> DataFrame:
+    found = element_alignments(rows, Finder(min_length=14, max_mismatches=2))
+    return with_alignment_columns(deduplicated_alignments(found, F.col("region_index"), F.col("pos1")))
+
+
+def alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per element its deduplicated alignments, in all and by quality band, and their mean identity; 0 where it has none."""
+    rows = _elements(spark, sf)
+    counts = _banded(rows).groupBy("is_id").agg(
+        F.count("*").alias("n"), F.count_if("is_exact").alias("n_exact"), F.count_if("is_short").alias("n_short"), F.round(F.avg("identity"), 6).alias("identity")
+    )
+    return rows.select("is_id").join(counts, "is_id", "left").na.fill(0, ["n", "n_exact", "n_short"])
+
+
+def alignment_description(spark: SparkSession, sf: str) -> DataFrame:
+    return describe(_banded(_elements(spark, sf)), ["length", "mismatches", "identity"])
+
+
 def guide_alignments_gapped(spark: SparkSession, sf: str) -> DataFrame:
     found = element_alignments(_elements(spark, sf), gaps=True)
     return found.where("gapped is not null").select("is_id", "flanking_source", "region_index", "gapped.*")
@@ -208,6 +227,8 @@ QUERIES = {
     "flank_region_pairs": flank_region_pairs,
     "guide_alignments": guide_alignments,
     "guide_alignments_mismatched": guide_alignments_mismatched,
+    "alignment_counts": alignment_counts,
+    "alignment_description": alignment_description,
     "guide_alignments_gapped": guide_alignments_gapped,
     "flank_repeats": flank_repeats,
     "guide_verdicts": guide_verdicts,
