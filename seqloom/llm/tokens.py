@@ -1,4 +1,10 @@
-"""Token counts with a public byte-level tokenizer, whose vocabulary file is read in every Python worker."""
+"""Token counts with a public byte-level tokenizer, whose vocabulary file is read in every Python worker.
+
+A text's tokens are those of the tokenizer, with one exception: a run of one kind of characters (letters, digits, marks or
+white space) that reaches over a multiple of GRID bytes of its text and CLEAR bytes beyond is tokenized in two parts there.
+So the tokens of any stretch between two ``edge`` places can be found from that stretch alone, and texts of any length
+and make can be tokenized.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +23,56 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("TOKENIZER_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the pattern by which this family of tokenizers cuts a text before merging bytes.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+GRID, CLEAR = 65_536, 2_048
+#: Places at which no match of the pattern can go on, whatever stands before and behind.
+_EDGE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+
+
+class Held:
+    """A text of ``size`` bytes of which any stretch can be read: here one that is in memory."""
+
+    def __init__(self, data: bytes | memoryview):
+        self.data, self.size = data, len(data)
+
+    def get(self, begin: int, end: int) -> bytes:
+        return bytes(self.data[begin:end])
+
+
+def first_edge(text: Held, begin: int, stop: int) -> int | None:
+    """The first place from ``begin`` to ``stop`` at which matches end, as a byte offset."""
+    width = 256
+    while begin <= stop:
+        first = max(0, begin - 4)
+        window = text.get(first, min(text.size, begin + width + 4))
+        skip = next((i for i, b in enumerate(window[:4]) if b & 0xC0 != 0x80), 0)
+        piece = window[skip:].decode("utf-8", "ignore")
+        at, done = first + skip, 0
+        for m in _EDGE.finditer(piece):
+            at += len(piece[done : m.start()].encode())
+            done = m.start()
+            if at >= begin:
+                return at if at <= stop else None
+        begin, width = begin + width, 4096
+    return None
+
+
+def edge(text: Held, at: int) -> int:
+    """The first place from ``at`` on at which the tokens before and behind don't depend on each other."""
+    if at <= 0 or at >= text.size:
+        return max(0, min(at, text.size))
+    grid = -(-at // GRID) * GRID
+    stop = min(text.size, grid + CLEAR)
+    found = first_edge(text, at, stop)
+    if found is not None or stop == text.size:
+        return text.size if found is None else found
+    return grid + next(i for i, b in enumerate(text.get(grid, grid + 4)) if b & 0xC0 != 0x80)
+
+
+def forced(text: Held, begin: int, end: int) -> list[int]:
+    """The places between these two at which a run is tokenized in two parts."""
+    grids = range(-(-max(begin, 1) // GRID) * GRID, end, GRID)
+    found = [edge(text, g) for g in grids if first_edge(text, g, min(text.size, g + CLEAR)) is None and g + CLEAR < text.size]
+    return [at for at in found if begin < at < end]
 
 
 class Tokenizer:
@@ -31,12 +88,24 @@ class Tokenizer:
         self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.widths[i] = len(token)
+        self.widest = int(self.widths.max())
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.int32)
+        if len(text) <= GRID // 4:
+            return self._plain(text)
+        data = text.encode()
+        return self.ids_between(data, forced(Held(data), 0, len(data)))
+
+    def ids_between(self, data: bytes, cuts: list[int]) -> np.ndarray:
+        """The ids of a text that is to be tokenized in parts."""
+        ends = [0, *cuts, len(data)]
+        return np.concatenate([self._plain(data[a:b].decode()) for a, b in zip(ends, ends[1:])])
 
     def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        return len(self.ids(text))
 
 
 @lru_cache(maxsize=4)

@@ -147,40 +147,73 @@ TEXTS = [
     "Line one\nline two ends.\nNext starts here " * 90,
     " \n\t" * 700,
     "a" + " " * 4000 + "b",
+    "don't 'start 'll we've x's !'s it''s  \n\n a\u3000b. 'Tis\u00a0so.\u2028 " * 60,
 ]
 
 
-
-
-@needs_vocabulary
-@pytest.mark.parametrize("sizes", [(S.RANGE, S.HALO), (500, 100)])
-@pytest.mark.parametrize("limit,overlap", [(64, 8), (64, 0), (128, 48)])
-def test_pieces(spark, sizes, limit, overlap):
+def check_pieces(rows, texts, limit, overlap):
     tok = tokenizer(VOCABULARY)
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], "x"), (77, None, "x")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, piece_no string").repartition(3)
-    found = S.split_texts(df, "doc_id", "text", limit, overlap, range_chars=sizes[0], halo=sizes[1]).collect()
     by = {}
-    for r in found:
+    for r in rows:
         by.setdefault(r.doc_id, []).append(r)
-    counts = [tok.count(t) for t in TEXTS]
-    if sizes[0] == S.RANGE:
-        assert set(by) == {i for i, n in enumerate(counts) if n > limit}
+    assert set(by) == {i for i, t in texts.items() if t and tok.count(t) > limit}
     for i, own in by.items():
-        own.sort(key=lambda r: (r.range_no, r.piece_no))
-        for no in {r.range_no for r in own}:
-            assert [r.piece_no for r in own if r.range_no == no] == list(range(sum(r.range_no == no for r in own)))
+        own.sort(key=lambda r: r.piece_no)
+        assert [r.piece_no for r in own] == list(range(len(own)))
         built, at = "", 0
         for r in own:
-            assert tok.count(r.text) <= limit and r.n_tokens <= limit
+            assert r.n_tokens == tok.count(r.text) <= limit
             assert r.token_start == at
             at = r.token_end
             assert built.endswith(r.text[: r.repeated_chars])
             built += r.text[r.repeated_chars :]
             if r is not own[0]:
-                assert overlap <= r.n_repeated <= overlap + 3
-        assert built == TEXTS[i]
-        assert own[-1].end_kind == "end"
+                assert overlap <= r.n_repeated <= overlap + 6
+        assert built == texts[i]
+        assert [r.end_kind == "end" for r in own] == [False] * (len(own) - 1) + [True]
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("limit,overlap", [(64, 8), (64, 0), (128, 48)])
+def test_pieces(spark, limit, overlap):
+    """The same pieces for ranges of 100, 500 or 32,768 bytes and for whole texts."""
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], "x"), (77, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, piece_no string").repartition(3)
+    whole = S.split_texts(df, "doc_id", "text", limit, overlap, range_bytes=1 << 30).collect()
+    check_pieces(whole, dict(enumerate(TEXTS)), limit, overlap)
+    for size in (100, 500, 32_768) if overlap == 8 else (500,):
+        assert sorted(S.split_texts(df, "doc_id", "text", limit, overlap, range_bytes=size).collect()) == sorted(whole)
+
+
+@needs_vocabulary
+def test_runs_longer_than_a_range(spark):
+    texts = {1: "a" * 140_000 + " end. " + "word " * 20_000, 2: "漢" * 50_000, 3: " " * 150_000, 4: "\n" * 70_000 + "x" * 70_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    whole = S.split_texts(df, "doc_id", "text", 512, 48, range_bytes=1 << 30).collect()
+    check_pieces(whole, texts, 512, 48)
+    for size in (30_000, 65_536):
+        assert sorted(S.split_texts(df, "doc_id", "text", 512, 48, range_bytes=size).collect()) == sorted(whole)
+
+
+@needs_vocabulary
+def test_rows_with_equal_ids(spark):
+    df = spark.createDataFrame([(1, TEXTS[3]), (1, TEXTS[3]), (1, TEXTS[2])], "doc_id bigint, text string").repartition(2)
+    whole = S.split_texts(df, "doc_id", "text", 64, 8, range_bytes=1 << 30).collect()
+    assert sorted(S.split_texts(df, "doc_id", "text", 64, 8, range_bytes=500).collect()) == sorted(whole)
+    assert sum(r.end_kind == "end" for r in whole) == 3
+    assert S.split_texts(df.limit(0), "doc_id", "text", 64, 8).count() == 0
+
+
+@needs_vocabulary
+def test_files(spark, tmp_path):
+    texts = {i: t for i, t in enumerate(TEXTS)}
+    for i, t in texts.items():
+        (tmp_path / f"{i}.txt").write_bytes(t.encode())
+    files = spark.createDataFrame([(i, str(tmp_path / f"{i}.txt"), 0) for i in texts] + [(None, "x", 0), (50, None, 0)], "doc_id bigint, path string, mark int")
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    want = sorted(S.split_texts(rows, "doc_id", "text", 64, 8).collect())
+    for size in (700, 1 << 20):
+        assert sorted(S.split_files(files, 64, 8, range_bytes=size).collect()) == want
 
 
 @needs_vocabulary
