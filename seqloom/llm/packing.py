@@ -4,7 +4,7 @@ Items are spread over blocks of a bounded size. In a block they are first placed
 underfull containers are searched: the emptiest one is the giver, and its items are moved into another container, or
 exchanged one for one, two for one or one for two, whenever that raises the sum of the squared fills, until the giver
 is empty. Containers that stay underfull leave their block; their items are gathered into fewer, again bounded, blocks
-and packed anew, for a few rounds.
+and packed anew, until a round saves no container.
 """
 
 from __future__ import annotations
@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 from seqloom.common import shared_checkpoint
 
 BLOCK_ITEMS = 20_000
-ROUNDS = 3
-#: A container that is filled less than this leaves its block for the next round.
-FULL = 0.995
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -49,18 +46,18 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
     """
     held = [sorted((sizes[i], i) for i in b) for b in bins]
     fill = [sum(s for s, _ in b) for b in held]
-    kinds: dict[tuple[int, ...], dict[int, None]] = {}  # sizes held to underfull bins
+    kinds = Underfull(held, fill, capacity)
     for b in range(len(bins)):
-        _enter(kinds, held, fill, capacity, b)
+        kinds.enter(b)
     changed = True
     while changed:
         changed = False
         stuck: set[tuple[int, ...]] = set()  # since the last change
-        for giver in sorted((b for own in kinds.values() for b in own), key=lambda b: (fill[b], b)):
+        for giver in sorted((b for own in kinds.bins.values() for b in own), key=lambda b: (fill[b], b)):
             kind = _kind(held[giver])
-            if kind not in kinds or kind in stuck:
+            if kind not in kinds.bins or kind in stuck:
                 continue
-            _leave(kinds, held, giver)
+            kinds.leave(giver)
             moved = True
             while held[giver] and moved:
                 moved = any(_step(held, fill, capacity, giver, item, kinds) for item in dict((x[0], x) for x in held[giver][::-1]).values())
@@ -68,9 +65,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
                     changed = True
                     stuck.clear()
             kind = _kind(held[giver])
-            if kind in kinds:  # so it was tried with its like, too
+            if kind in kinds.bins:  # so it was tried with its like, too
                 stuck.add(kind)
-            _enter(kinds, held, fill, capacity, giver)
+            kinds.enter(giver)
     return [[i for _, i in b] for b in held if b]
 
 
@@ -78,16 +75,29 @@ def _kind(items: list[tuple[int, int]]) -> tuple[int, ...]:
     return tuple(s for s, _ in items)
 
 
-def _enter(kinds, held, fill, capacity, b) -> None:
-    if 0 < fill[b] < capacity:
-        kinds.setdefault(_kind(held[b]), {})[b] = None
+class Underfull:
+    """The underfull bins by the sizes that they hold, with an index by room."""
 
+    def __init__(self, held: list[list[tuple[int, int]]], fill: list[int], capacity: int):
+        self.held, self.fill, self.capacity = held, fill, capacity
+        self.bins: dict[tuple[int, ...], dict[int, None]] = {}
+        self.by_room: list[tuple[int, tuple[int, ...]]] = []  # (-room, sizes), sorted: the roomiest first
 
-def _leave(kinds, held, b) -> None:
-    own = kinds[_kind(held[b])]
-    del own[b]
-    if not own:
-        del kinds[_kind(held[b])]
+    def enter(self, b: int) -> None:
+        if 0 < self.fill[b] < self.capacity:
+            kind = _kind(self.held[b])
+            if kind not in self.bins:
+                self.bins[kind] = {}
+                insort(self.by_room, (self.fill[b] - self.capacity, kind))
+            self.bins[kind][b] = None
+
+    def leave(self, b: int) -> None:
+        kind = _kind(self.held[b])
+        own = self.bins[kind]
+        del own[b]
+        if not own:
+            del self.bins[kind]
+            del self.by_room[bisect_left(self.by_room, (self.fill[b] - self.capacity, kind))]
 
 
 def _exchange(own: list[tuple[int, int]], item: tuple[int, int], theirs: list[tuple[int, int]], room: int):
@@ -122,25 +132,26 @@ def _exchange(own: list[tuple[int, int]], item: tuple[int, int], theirs: list[tu
 def _step(held, fill, capacity, giver, item, kinds) -> bool:
     """The one change that takes ``item`` out of the giver and raises the squared fill most, if any does."""
     most, chosen = 0, None
-    for own in kinds.values():
-        b = next(iter(own))
-        room = capacity - fill[b]
-        if room * (fill[b] - fill[giver] + room) > most:
-            grow, there, back = _exchange(held[giver], item, held[b], room)
-            gain = grow * (fill[b] - fill[giver] + grow)
-            if grow and gain > most:
-                most, chosen = gain, (b, grow, there, back)
+    for less, kind in kinds.by_room:
+        room = -less
+        if room * (capacity - fill[giver]) <= most:  # what filling it up would bring; later ones have less room
+            break
+        b = next(iter(kinds.bins[kind]))
+        grow, there, back = _exchange(held[giver], item, held[b], room)
+        gain = grow * (fill[b] - fill[giver] + grow)
+        if grow and gain > most:
+            most, chosen = gain, (b, grow, there, back)
     if chosen is None:
         return False
     b, grow, there, back = chosen
-    _leave(kinds, held, b)
+    kinds.leave(b)
     for source, target, items in ((giver, b, there), (b, giver, back)):
         for x in items:
             held[source].remove(x)
             insort(held[target], x)
     fill[giver] -= grow
     fill[b] += grow
-    _enter(kinds, held, fill, capacity, b)
+    kinds.enter(b)
     return True
 
 
@@ -162,7 +173,11 @@ def _pack(capacity: int):
     return pack
 
 
-def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, rounds: int = ROUNDS, seed: int = 0) -> DataFrame:
+def _containers(packed: DataFrame) -> int:
+    return packed.select("block", "bin").distinct().count()
+
+
+def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS, full: float = 0.995, seed: int = 0) -> DataFrame:
     """Every item in exactly one container; no container above the capacity.
 
     Args:
@@ -171,7 +186,8 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS,
             largest counts.
         capacity: the most tokens of a container.
         block_items: about the most items that one task packs together.
-        rounds: how often underfull containers are gathered and packed anew.
+        full: containers that are filled at least so far stay; others are gathered and packed anew, in rounds, until a
+            round saves no container or all of them fit in one block.
 
     Returns:
         ``container_id`` (string), ``item_id``, ``piece_no``, ``token_start``, ``n_tokens`` and ``fill`` (all tokens
@@ -180,30 +196,28 @@ def pack_items(items: DataFrame, capacity: int, block_items: int = BLOCK_ITEMS,
     """
     sized = items.where(F.col("item_id").isNotNull() & (F.col("n_tokens") > 0)).groupBy(F.col("item_id").cast("bigint").alias("item_id")).agg(F.max("n_tokens").cast("int").alias("n_tokens"))
     sized = shared_checkpoint(sized)
-    full = sized.where(F.col("n_tokens") >= capacity).select(
+    whole = sized.where(F.col("n_tokens") >= capacity).select(
         "item_id", F.explode(F.sequence(F.lit(0), (F.col("n_tokens") / capacity).cast("int") - 1)).alias("piece_no")
     )
     done = [
-        full.select(
+        whole.select(
             F.concat(F.lit("full-"), "item_id", F.lit("-"), "piece_no").alias("container_id"),
             "item_id", "piece_no", F.lit(capacity).alias("n_tokens"), F.lit(capacity).alias("fill"),
         )
     ]
     rest = sized.select("item_id", (F.col("n_tokens") / capacity).cast("int").alias("piece_no"), (F.col("n_tokens") % capacity).cast("int").alias("n_tokens")).where("n_tokens > 0")
-    for turn in range(rounds):
-        blocks = -(-rest.count() // block_items)
-        if not blocks:
-            break
-        block = F.pmod(F.xxhash64("item_id", F.lit(seed + turn)), F.lit(blocks)).alias("block")
-        spread = rest.select(block, "item_id", "piece_no", "n_tokens").repartition(blocks, "block")  # a number, so that blocks stay apart
-        packed = spread.groupBy("block").applyInPandas(_pack(capacity), PACKED)
-        packed = shared_checkpoint(packed)
-        last = turn == rounds - 1 or blocks == 1
-        settled = packed if last else packed.where(F.col("fill") >= FULL * capacity)
+    turn, before = 0, None
+    while blocks := -(-rest.count() // block_items):
+        block = F.pmod(F.xxhash64("item_id", F.lit(seed + turn)), F.lit(blocks)).cast("int").alias("block")
+        spread = rest.select(block, "item_id", "piece_no", "n_tokens").repartitionById(blocks, "block")  # one block a task
+        packed = shared_checkpoint(spread.groupBy("block").applyInPandas(_pack(capacity), PACKED))
+        last = blocks == 1 or (before is not None and _containers(packed) >= before)
+        settled = packed if last else packed.where(F.col("fill") >= full * capacity)
         done.append(settled.select(F.concat_ws("-", F.lit(turn), "block", "bin").alias("container_id"), "item_id", "piece_no", "n_tokens", "fill"))
         if last:
             break
-        rest = packed.where(F.col("fill") < FULL * capacity).select("item_id", "piece_no", "n_tokens")
+        underfull = packed.where(F.col("fill") < full * capacity)
+        rest, before, turn = underfull.select("item_id", "piece_no", "n_tokens"), _containers(underfull), turn + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -64,6 +64,24 @@ def test_local_search_looks_at_all_bins():
     assert sorted(sum(sizes[i] for i in b) for b in found)[1200:] == [93, 97]
 
 
+def test_local_search_where_best_fit_is_far_from_the_least():
+    """20,000 sizes of 500 to 1,099 in containers of 2,048: best fit alone takes 8,434, the total would need 7,804."""
+    sizes = np.random.default_rng(0).integers(500, 1100, 20000).tolist()
+    found = P.local_search(P.best_fit(sizes, 2048), sizes, 2048)
+    assert sorted(i for b in found for i in b) == list(range(20000)) and max(sum(sizes[i] for i in b) for b in found) <= 2048
+    assert len(found) <= 8181
+
+
+def test_rounds_go_on_while_they_save(spark):
+    """Blocks of 200 items: later rounds bring the containers down to nearly those of one block."""
+    sizes = np.random.default_rng(1).integers(300, 1500, 1000).tolist()
+    df = spark.createDataFrame(list(enumerate(sizes)), "item_id bigint, n_tokens int")
+    one = P.pack_items(df, 2048).select("container_id").distinct().count()
+    many = P.pack_items(df, 2048, block_items=200)
+    used, _ = check_packing(many.collect(), dict(enumerate(sizes)), 2048)
+    assert used <= 1.02 * one
+
+
 def test_local_search_never_lowers_the_squared_fill():
     draw = random.Random(0)
     for _ in range(50):
