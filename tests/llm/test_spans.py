@@ -70,11 +70,12 @@ def frame(spark, rows):
     return df.withColumn("pos", F.lit("clash")).withColumn("hi", F.lit(1)).repartition(3)
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_against_all_windows(spark, seed):
-    rows = sample(seed)
-    found = {tuple(r) for r in S.shared_spans(frame(spark, rows), 40).collect()}
-    assert found == brute(rows, 40) and found
+@pytest.mark.parametrize("length,group_rows", [(40, S.GROUP_ROWS), (40, 1), (30, 5), (52, 5), (85, S.GROUP_ROWS)])
+def test_against_all_windows(spark, length, group_rows):
+    """Also with anchors of few surroundings split by their spans, and frequent surroundings spread."""
+    rows = sample(1)
+    found = {tuple(r) for r in S.shared_spans(frame(spark, rows), length, group_rows).collect()}
+    assert found == brute(rows, length) and found
 
 
 def test_frequent_codes_are_settled_beforehand(spark, monkeypatch):
@@ -83,11 +84,16 @@ def test_frequent_codes_are_settled_beforehand(spark, monkeypatch):
     rows = [(f"h{i}", "up", 0, dna(draw, 10) + repeat + dna(draw, 20)) for i in range(300)] + sample(3)
     windows = S.shared_spans(frame(spark, rows), 40)
     assert {tuple(r) for r in windows.collect()} == brute(rows, 40)
-    clean = frame(spark, [r for r in rows if r[0] and r[3]]).select("id", "part", "no", "letters")
-    codes = clean.mapInArrow(S._windows(lambda texts, _: S.anchors(texts, 20), np.zeros((0, 2), np.int64)), S.FOUND)
+    clean = frame(spark, [r for r in rows if r[0] and r[3]]).selectExpr("id", "1L", "letters")
+    codes = clean.mapInArrow(S._windows(20, np.zeros(0, np.int64)), S.FOUND)
     assert len(S._settled(codes)) > 0
 
 
+def test_a_length_below_the_least_is_refused(spark):
+    with pytest.raises(ValueError):
+        S.shared_spans(frame(spark, [("a", "up", 0, "ACGT")]), 29)
+
+
 def test_one_record_with_a_long_repeat_is_not_shared(spark):
     rows = [("a", "up", 0, "A" * 5000), ("b", "up", 0, "C" * 39), ("c", "up", 0, "C" * 39)]
     assert S.shared_spans(frame(spark, rows), 40).count() == 0
