@@ -47,7 +47,7 @@ def test_item_with_differing_scores_counts_with_its_best(spark):
     assert [(r.item_id, r["rank"]) for r in found] == [(1, 1)]
 
 
-def test_nan_is_above_every_number_and_empty_is_empty(spark):
+def test_nan_comes_behind_numbers_and_empty_is_empty(spark):
     rows = [("a", 1, math.nan, 0.0, "", 0, ""), ("a", 2, 5.0, 0.0, "", 0, ""), ("a", 3, None, 0.0, "", 0, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     up = top_n_per_group(df, "q", "hit_id", [("bitscore", "asc")], 3).orderBy("rank").collect()
