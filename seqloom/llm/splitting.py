@@ -370,19 +370,22 @@ def split_texts(
                 held = Held(memoryview(data.as_buffer()))
                 for no in range(-(-held.size // range_bytes)):
                     low, begin, end, high, splits = _extent(held, no, range_bytes, tok, limit, overlap)
-                    row = (doc, mark, no, begin - low, end - low, no == 0, [x - low for x in splits], held.get(low, high))
-                    yield _batch(_SLICE, [[x] for x in row])
+                    # The limits stand before the bytes, so that tabulating and cutting need the same columns and share the shuffle.
+                    head = np.array([3 + len(splits), begin - low, end - low, *(x - low for x in splits)], np.int32).tobytes()
+                    yield _batch(_SLICE, [[doc], [mark], [no], [head + held.get(low, high)]])
 
     large = rows.where(F.octet_length("text") > range_bytes).select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("data"))
     spread = large.mapInArrow(slices, SLICE).repartition("doc_id", "mark", "range_no")
 
     def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, mark, no, begin, end, is_first, splits, data in zip(*[c.to_pylist() for c in batch.columns]):
-                yield _batch(_TABLE, [[x] for x in (doc, mark, no, *_tabulated(data, begin, end, is_first, splits, vocabulary, limit, overlap))])
+            for doc, mark, no, data in zip(*[c.to_pylist() for c in batch.columns]):
+                n, begin, end, *splits = np.frombuffer(data, np.int32, int(np.frombuffer(data, np.int32, 1)[0])).tolist()
+                made = _tabulated(data[4 * n :], begin, end, no == 0, splits, vocabulary, limit, overlap, 4 * n)
+                yield _batch(_TABLE, [[x] for x in (doc, mark, no, *made)])
 
     pieces = _stitch(spread.mapInArrow(tabulate, TABLE), limit)
-    # The slices stay in the partitions in which they were tabulated; with all their columns, the shuffle is reused.
+    # The slices stay in the partitions in which they were tabulated.
     met = spread.join(pieces, ["doc_id", "mark", "range_no"]).select("doc_id", "data", F.explode("pieces").alias("p"))
     part = lambda a, b: F.substring("data", (F.col(a) + 1).cast("int"), (F.col(b) - F.col(a)).cast("int")).cast("string")
     number = lambda c: F.col(f"p.{c}").cast("int").alias(c)
@@ -394,8 +397,8 @@ def split_texts(
     return done.unionByName(cut)
 
 
-_SLICE = [*_KEY, ("begin", pa.int32()), ("end", pa.int32()), ("is_first", pa.bool_()), ("splits", _INTS), ("data", pa.binary())]
-SLICE = "doc_id bigint, mark bigint, range_no int, `begin` int, `end` int, is_first boolean, splits array<int>, data binary"
+_SLICE = [*_KEY, ("data", pa.binary())]
+SLICE = "doc_id bigint, mark bigint, range_no int, data binary"
 
 
 class File(Held):

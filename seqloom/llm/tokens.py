@@ -90,22 +90,26 @@ class Tokenizer:
             self.widths[i] = len(token)
         self.widest = int(self.widths.max())
 
-    def _plain(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=())
-
-    def ids(self, text: str) -> np.ndarray:
+    def _parts(self, text: str) -> list[list[int]]:
+        """The ids of a text, in the parts in which it is to be tokenized."""
         if len(text) <= GRID // 4:
-            return self._plain(text)
+            return [self.encoding.encode_ordinary(text)]
         data = text.encode()
-        return self.ids_between(data, forced(Held(data), 0, len(data)))
+        return self._cut(data, forced(Held(data), 0, len(data)))
 
-    def ids_between(self, data: bytes, cuts: list[int]) -> np.ndarray:
-        """The ids of a text that is to be tokenized in parts."""
+    def _cut(self, data: bytes, cuts: list[int]) -> list[list[int]]:
         ends = [0, *cuts, len(data)]
-        return np.concatenate([self._plain(data[a:b].decode()) for a, b in zip(ends, ends[1:])])
+        return [self.encoding.encode_ordinary(data[a:b].decode()) for a, b in zip(ends, ends[1:])]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.concatenate([np.array(p, np.int32) for p in self._parts(text)])
+
+    def ids_between(self, data: bytes, cuts: list[int]) -> np.ndarray:
+        """The ids of a stretch of a text, which is tokenized in parts at these places."""
+        return np.concatenate([np.array(p, np.int32) for p in self._cut(data, cuts)])
 
     def count(self, text: str) -> int:
-        return len(self.ids(text))
+        return sum(map(len, self._parts(text)))
 
 
 @lru_cache(maxsize=4)
