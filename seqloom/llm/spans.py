@@ -99,18 +99,19 @@ def anchors(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return window_codes(own.codes, width)[at], *own.place(at)
 
 
-def surroundings(text: str, near: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the windows at ``near``: code, and the ``reach`` letters to the left (nearest first) and right, as 0 to 3; 4 from
-    the first other letter or the text's end on."""
-    own = Letters([text])
+def surroundings(texts: list[str], row: np.ndarray, near: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows at ``near`` in the texts ``row``: code, and the ``reach`` letters to the left (nearest first) and right,
+    as 0 to 3; 4 from the first other letter or the text's end on."""
+    own = Letters(texts)
+    # A foreign letter stands between texts.
     codes = np.where(np.diff(own.bad) > 0, 4, own.codes).astype(np.uint8)
     wide = np.r_[np.full(reach, 4, np.uint8), codes, np.full(reach, 4, np.uint8)]
-    step = np.arange(reach)
-    left = wide[near[:, None] + (reach - 1 - step)]
-    right = wide[near[:, None] + (reach + width + step)]
+    at, step = own.begins[row] + near, np.arange(reach)
+    left = wide[at[:, None] + (reach - 1 - step)]
+    right = wide[at[:, None] + (reach + width + step)]
     for side in left, right:
         side[np.maximum.accumulate(side == 4, axis=1)] = 4
-    return window_codes(own.codes, width)[near], left, right
+    return window_codes(own.codes, width)[at], left, right
 
 
 def _is_one_of(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -143,18 +144,27 @@ def _bytes(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _surrounded(width: int, reach: int, together: int = 1 << 14):
+def _surrounded(width: int, reach: int, letters: int = 1 << 22, anchors_at_once: int = 1 << 16):
     """A mapInArrow function: of rows (id, part, no, letters, near) the occurrences of anchors with their surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *place, text, near in zip(*[c.to_pylist() for c in batch.columns]):
-                for k in range(0, len(near), together):
-                    at = np.array(near[k : k + together], np.int64)
-                    code, left, right = surroundings(text, at, width, reach)
-                    same = [pa.repeat(pa.scalar(v, k), at.size) for v, k in zip(place, (pa.string(), pa.string(), pa.int32()))]
-                    columns = [*same, pa.array(at.astype(np.int32)), pa.array(code), _bytes(left), _bytes(right)]
+            texts, near = batch.column(3).to_pylist(), batch.column(4)
+            begin, size = 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text)
+                if size < letters and end < len(texts):
+                    continue
+                part = near.slice(begin, end - begin)
+                row = np.repeat(np.arange(end - begin), pc.list_value_length(part).to_numpy())
+                at = part.flatten().to_numpy()
+                for k in range(0, at.size, anchors_at_once):
+                    own = row[k : k + anchors_at_once]
+                    code, left, right = surroundings(texts[begin:end], own, at[k : k + anchors_at_once], width, reach)
+                    place = [batch.column(i).take(pa.array(own + begin)) for i in range(3)]
+                    columns = [*place, pa.array(at[k : k + anchors_at_once].astype(np.int32)), pa.array(code), _bytes(left), _bytes(right)]
                     yield pa.RecordBatch.from_arrays(columns, ["id", "part", "no", "pos", "code", "left", "right"])
+                begin, size = end, 0
 
     return run
 
