@@ -17,23 +17,33 @@ from seqloom.sources import formats
 from seqloom.sources.sinks import PROFILE_HIT_COLUMNS, PROTEIN_HIT_COLUMNS, hit_table
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Protein hits, exact copies once, ids cleaned."""
-    rows = table(spark, sf, "diamond_hits").distinct()
-    return rows.withColumns({c: clean_id(c) for c in ("query_id", "protein_id", "contig_id")})
+def _hits(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """``hit_id`` and the given columns of protein hits: exact copies once, ids cleaned, a score that is not a number as null.
+
+    A hit's copies are equal in all columns, so only the wanted ones are read and compared.
+    """
+    rows = table(spark, sf, "diamond_hits").select(
+        "hit_id", *[clean_id(c).alias(c) if c in _IDS else F.nanvl(c, F.lit(None)).alias(c) if c == "bitscore" else F.col(c) for c in columns]
+    )
+    return rows.distinct()
+
+
+def _profiles(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """As ``_hits``, of profile hits."""
+    return table(spark, sf, "hmm_hits").select("hit_id", *[clean_id(c).alias(c) if c in _IDS else F.col(c) for c in columns]).distinct()
 
 
-def _profiles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "hmm_hits").distinct()
-    return rows.withColumns({c: clean_id(c) for c in ("target_name", "protein_id", "contig_id")})
+#: Columns of a hit's place.
+PLACE = ("contig_id", "start", "end", "strand")
+_IDS = ("query_id", "target_name", "protein_id", "contig_id")
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
     return P.current_positions(table(spark, sf, "proteins"))
 
 
-def _located(spark: SparkSession, sf: str) -> DataFrame:
-    return locate_hits(_hits(spark, sf), _positions(spark, sf), "query_id")
+def _located(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return locate_hits(_hits(spark, sf, "query_id", *columns), _positions(spark, sf), "query_id")
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,95 +68,99 @@ def index_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    ids = _profiles(spark, sf).where("target_name is not null").select(F.col("target_name").alias("protein_id")).distinct()
+    ids = table(spark, sf, "hmm_hits").select(clean_id("target_name").alias("target_name")).where("target_name is not null").select(F.col("target_name").alias("protein_id")).distinct()
     return P.get_positions(_positions(spark, sf), ids).select("protein_id", "start", "end", "strand", "contig_id")
 
 
 def index_contains(spark: SparkSession, sf: str) -> DataFrame:
-    ids = _hits(spark, sf).where("query_id is not null").select(F.col("query_id").alias("protein_id")).distinct()
+    ids = table(spark, sf, "diamond_hits").select(clean_id("query_id").alias("query_id")).where("query_id is not null").select(F.col("query_id").alias("protein_id")).distinct()
     return P.contains(_positions(spark, sf), ids)
 
 
 def located_protein_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return _located(spark, sf).select("hit_id", "protein_id", "start", "end", "strand", "contig_id", "length", "is_forward", "bitscore")
+    return _located(spark, sf, "bitscore").select("hit_id", "protein_id", "start", "end", "strand", "contig_id", "length", "is_forward", "bitscore")
 
 
 def located_profile_hits(spark: SparkSession, sf: str) -> DataFrame:
-    found = locate_hits(_profiles(spark, sf), _positions(spark, sf), "target_name")
+    found = locate_hits(_profiles(spark, sf, "target_name", "domain_number", "domain_score"), _positions(spark, sf), "target_name")
     return found.select("hit_id", "protein_id", "start", "end", "strand", "contig_id", "length", "is_forward", "domain_number", "domain_score")
 
 
 def unlocated_protein_hits(spark: SparkSession, sf: str) -> DataFrame:
-    return unlocated(_hits(spark, sf), _positions(spark, sf), "query_id").select("hit_id", "query_id")
+    return unlocated(_hits(spark, sf, "query_id"), _positions(spark, sf), "query_id").select("hit_id", "query_id")
 
 
 def protein_hit_table(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_table(_hits(spark, sf), PROTEIN_HIT_COLUMNS)
+    rows = _hits(spark, sf, *[c for c in table(spark, sf, "diamond_hits").columns if c in PROTEIN_HIT_COLUMNS])
+    return hit_table(rows, PROTEIN_HIT_COLUMNS)
 
 
 def profile_hit_table(spark: SparkSession, sf: str) -> DataFrame:
-    return hit_table(_profiles(spark, sf), PROFILE_HIT_COLUMNS)
+    rows = _profiles(spark, sf, *[c for c in table(spark, sf, "hmm_hits").columns if c in PROFILE_HIT_COLUMNS])
+    return hit_table(rows, PROFILE_HIT_COLUMNS)
 
 
 def subject_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = hit_summary(_located(spark, sf).where(~F.isnan("bitscore")))
+    found = hit_summary(_located(spark, sf, "subject_id", "pident", "evalue", "bitscore"))
     return found.withColumns({"mean_pident": F.round("mean_pident", 6)})
 
 
 def subject_stats(spark: SparkSession, sf: str) -> DataFrame:
-    found = A.group_stats(_hits(spark, sf), ["subject_id"], "pident")
+    found = A.group_stats(_hits(spark, sf, "subject_id", "pident"), ["subject_id"], "pident")
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 def subjects_having(spark: SparkSession, sf: str) -> DataFrame:
-    return A.groups_having(_hits(spark, sf), ["subject_id"], "pident", 60.0, 3).select("subject_id", "n")
+    return A.groups_having(_hits(spark, sf, "subject_id", "pident"), ["subject_id"], "pident", 60.0, 3).select("subject_id", "n")
 
 
 def hit_description(spark: SparkSession, sf: str) -> DataFrame:
-    found = A.describe(_hits(spark, sf), ["pident", "alignment_length", "mismatches", "gap_opens"])
+    names = ["pident", "alignment_length", "mismatches", "gap_opens"]
+    found = A.describe(_hits(spark, sf, *names), names)
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "median", "q75")})
 
 
 def hit_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    return A.correlations(_hits(spark, sf), ["pident", "alignment_length", "mismatches"]).withColumn("r", F.round("r", 6))
+    names = ["pident", "alignment_length", "mismatches"]
+    return A.correlations(_hits(spark, sf, *names), names).withColumn("r", F.round("r", 6))
 
 
 def best_profile_per_protein(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _profiles(spark, sf).where("protein_id is not null")
+    rows = _profiles(spark, sf, "protein_id", "query_name", "evalue").where("protein_id is not null")
     best = A.best_per_group(rows, ["protein_id"], [F.asc_nulls_last("evalue"), F.col("hit_id")], 1)
     return best.select("protein_id", "hit_id", "query_name", "evalue")
 
 
 def best_profiles_per_family(spark: SparkSession, sf: str) -> DataFrame:
-    best = A.best_per_group(_profiles(spark, sf), ["query_name"], [F.asc_nulls_last("evalue"), F.col("hit_id")], 5)
+    best = A.best_per_group(_profiles(spark, sf, "query_name", "evalue"), ["query_name"], [F.asc_nulls_last("evalue"), F.col("hit_id")], 5)
     return best.select("query_name", "hit_id", "rank")
 
 
 def hit_columns(spark: SparkSession, sf: str) -> DataFrame:
-    found = A.with_hit_columns(_hits(spark, sf))
+    found = A.with_hit_columns(_hits(spark, sf, *PLACE, "pident", "evalue"))
     return found.select("hit_id", "length", "is_forward", F.round("neg_log_evalue", 6).alias("neg_log_evalue"), "identity_bin", "length_class", "location")
 
 
 def length_class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.count_table(A.with_hit_columns(_hits(spark, sf)), "file_basename", "length_class", ["short", "medium", "long"])
+    return A.count_table(A.with_hit_columns(_hits(spark, sf, "file_basename", *PLACE, "pident", "evalue")), "file_basename", "length_class", ["short", "medium", "long"])
 
 
 def subjects_on_both_strands(spark: SparkSession, sf: str) -> DataFrame:
-    return A.present_in_all(_hits(spark, sf), "subject_id", "strand")
+    return A.present_in_all(table(spark, sf, "diamond_hits"), "subject_id", "strand")
 
 
 def identity_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return A.histogram(_hits(spark, sf), "pident", 0.0, 100.0, 20)
+    return A.histogram(_hits(spark, sf, "pident"), "pident", 0.0, 100.0, 20)
 
 
 def file_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.value_counts(_hits(spark, sf), "file_basename")
+    return A.value_counts(_hits(spark, sf, "file_basename"), "file_basename")
 
 
 def transposase_hits(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _hits(spark, sf)
     text = F.col("subject_id").ilike("%transposase%") | F.col("subject_id").contains("tnp")
-    return rows.where(text & F.col("pident").between(40, 90) & (F.abs(F.col("end") - F.col("start")) + 1 >= 300) & F.col("evalue").isNotNull()).select("hit_id", "subject_id", "pident")
+    good = text & F.col("pident").between(40, 90) & (F.abs(F.col("end") - F.col("start")) + 1 >= 300) & F.col("evalue").isNotNull()
+    return table(spark, sf, "diamond_hits").where(good).select("hit_id", "subject_id", "pident").distinct()
 
 
 def hit_evalues(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +168,8 @@ def hit_evalues(spark: SparkSession, sf: str) -> DataFrame:
     space = F.greatest(F.lit(1), F.col("query_end") - F.col("query_start") + 2) * F.greatest(F.lit(1), F.col("subject_end") - F.col("subject_start") + 2)
     score = (n - k) * 2 - k - F.col("gap_opens") * 3
     e, g = X.ungapped_evalue(n, k, space), X.gapped_evalue(score, n, n + 10)
-    rows = _hits(spark, sf).where("alignment_length > 0 and mismatches is not null and gap_opens is not null").where(space.isNotNull())
+    names = ("alignment_length", "mismatches", "gap_opens", "query_start", "query_end", "subject_start", "subject_end")
+    rows = _hits(spark, sf, *names).where("alignment_length > 0 and mismatches is not null and gap_opens is not null").where(space.isNotNull())
     return rows.select(
         "hit_id", F.round(F.log10(F.when((e > 0) & (e < 1e300), e)), 5).alias("log_e"), F.round(F.log10(F.when((g > 0) & (g < 1e300), g)), 5).alias("log_gapped"),
         F.round(X.evalue_to_pvalue(g), 6).alias("p_gapped"),
@@ -162,9 +177,9 @@ def hit_evalues(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hit_headers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _hits(spark, sf).where("query_id is not null and pident is not null and evalue is not null and bitscore is not null and not isnan(bitscore)")
-    header = fasta_header(F.col("query_id"), identity=F.lit(1.0) * 0.5, evalue=F.lit(0.00123), score=F.floor("bitscore").cast("double"))
-    return rows.select("hit_id", header.alias("header"))
+    rows = _hits(spark, sf, "query_id", "pident", "evalue", "bitscore")
+    header = fasta_header(F.col("query_id"), identity=F.col("pident") / 100, evalue=F.col("evalue"), score=F.col("bitscore"))
+    return rows.where("query_id is not null and pident is not null and evalue is not null and bitscore is not null").select("hit_id", header.alias("header"))
 
 
 # The formats' lines made from the tables and parsed again
@@ -172,15 +187,14 @@ def hit_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 def parsed_search_lines(spark: SparkSession, sf: str) -> DataFrame:
     names = [n for n, _ in formats.SEARCH_FIELDS]
-    rows = _hits(spark, sf).where(F.col("query_id").isNotNull() & ~F.isnan("bitscore"))
-    for n in names:
-        rows = rows.where(F.col(n).isNotNull())
+    rows = _hits(spark, sf, *names).na.drop()
     lines = rows.select("hit_id", F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value"))
     return formats.parse_hits(lines)
 
 
 def parsed_profile_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _profiles(spark, sf).where("target_name is not null and evalue is not null and score is not null and bias is not null and accession is not null and query_name is not null")
+    names = ("target_name", "accession", "query_name", "evalue", "score", "bias", "domain_number", "domain_evalue", "domain_score")
+    rows = _profiles(spark, sf, *names).where("target_name is not null and evalue is not null and score is not null and bias is not null and accession is not null and query_name is not null")
     x = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     dash = F.lit("-")
     value = F.concat_ws(
@@ -221,8 +235,8 @@ def feature_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Protein and profile hits under common names, as a bag."""
-    a = table(spark, sf, "diamond_hits").select(F.lit("protein").alias("kind"), "hit_id", clean_id("protein_id").alias("protein_id"), "evalue", F.col("bitscore").alias("score"))
+    """Protein and profile hits under common names, as a bag; a score that is not a number is null."""
+    a = table(spark, sf, "diamond_hits").select(F.lit("protein").alias("kind"), "hit_id", clean_id("protein_id").alias("protein_id"), "evalue", F.nanvl("bitscore", F.lit(None)).alias("score"))
     b = table(spark, sf, "hmm_hits").select(F.lit("profile").alias("kind"), "hit_id", clean_id("protein_id").alias("protein_id"), "evalue", "score")
     return a.unionByName(b)
 
@@ -244,7 +258,7 @@ def null_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_scores(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best hits of all, a report."""
-    rows = _hits(spark, sf).where(F.col("bitscore").isNotNull() & ~F.isnan("bitscore"))
+    rows = _hits(spark, sf, "bitscore").where(F.col("bitscore").isNotNull())
     return rows.orderBy(F.desc("bitscore"), "hit_id").limit(10).select("hit_id", "bitscore")
 
 
@@ -261,7 +275,7 @@ QUERIES = {
 }
 
 _C = "nullif(trim({0}, ' ' || chr(9)), '')"
-_H = f"""h AS (SELECT DISTINCT * REPLACE ({_C.format('query_id')} AS query_id, {_C.format('protein_id')} AS protein_id, {_C.format('contig_id')} AS contig_id) FROM (SELECT DISTINCT * FROM diamond_hits))"""
+_H = f"""h AS (SELECT DISTINCT * REPLACE ({_C.format('query_id')} AS query_id, {_C.format('protein_id')} AS protein_id, {_C.format('contig_id')} AS contig_id, CASE WHEN NOT isnan(bitscore) THEN bitscore END AS bitscore) FROM (SELECT DISTINCT * FROM diamond_hits))"""
 _M = f"""m AS (SELECT DISTINCT * REPLACE ({_C.format('target_name')} AS target_name, {_C.format('protein_id')} AS protein_id, {_C.format('contig_id')} AS contig_id) FROM (SELECT DISTINCT * FROM hmm_hits))"""
 _P = f"""p AS (SELECT * FROM (SELECT {_C.format('protein_id')} AS protein_id, start, "end", strand, {_C.format('contig_id')} AS contig_id, row_number() OVER (PARTITION BY {_C.format('protein_id')}
   ORDER BY loaded_at DESC NULLS LAST, start DESC NULLS LAST, "end" DESC NULLS LAST, strand DESC NULLS LAST, contig_id DESC NULLS LAST) AS rn FROM proteins) WHERE rn = 1 AND protein_id IS NOT NULL)"""
@@ -288,7 +302,7 @@ ORACLES = {
     "profile_hit_table": f"""WITH {_M} SELECT file_basename, contig_id, protein_id, start, "end", strand, strand = 1 AS is_forward, {_LEN.replace('h.', 'm.')} AS length, query_name, target_name, evalue, score, bias,
   domain_number, domain_evalue, domain_score, NULL::VARCHAR AS genomic_sequence FROM m""",
     "subject_summary": f"""WITH {_P}, {_H} SELECT subject_id, count(*) AS n_hits, round(avg(pident), 6) AS mean_pident, min(evalue) AS best_evalue, max(bitscore) AS best_bitscore FROM h JOIN p ON h.query_id = p.protein_id
-  WHERE (bitscore IS NULL OR NOT isnan(bitscore)) AND evalue < 1e-5 AND pident > 30 AND p.strand = 1 GROUP BY subject_id""",
+  WHERE evalue < 1e-5 AND pident > 30 AND p.strand = 1 GROUP BY subject_id""",
     "subject_stats": f"""WITH {_H} SELECT subject_id, count(*) AS n, round(avg(pident), 6) AS mean, min(pident) AS min, max(pident) AS max, round(stddev_samp(pident), 6) AS std, count(DISTINCT pident) AS n_distinct FROM h GROUP BY subject_id""",
     "subjects_having": f"WITH {_H} SELECT subject_id, count(*) AS n FROM h GROUP BY subject_id HAVING avg(pident) > 60 AND count(*) >= 3",
     "hit_description": f"WITH {_H} "
@@ -313,10 +327,11 @@ ORACLES = {
 y AS (SELECT *, exp(ln(space) + {_CHOOSE} + k * ln(3) - n * ln(4)) AS e, (n - k) * 2 - k - gap_opens * 3 AS s FROM x),
 z AS (SELECT *, CASE WHEN s <= 0 THEN 'Infinity'::DOUBLE ELSE exp(ln(0.1) + ln(n) + ln(n + 10) - s * ln((sqrt(13) - 1) / 2)) END AS g FROM y)
 SELECT hit_id, round(CASE WHEN e > 0 AND e < 1e300 THEN log10(e) END, 5) AS log_e, round(CASE WHEN g > 0 AND g < 1e300 THEN log10(g) END, 5) AS log_gapped, round(CASE WHEN g >= 700 THEN 1 ELSE 1 - exp(-g) END, 6) AS p_gapped FROM z""",
-    "hit_headers": f"""WITH {_H} SELECT hit_id, format('>{{}} identity=0.50 evalue=1.23e-03 score={{}}.0', query_id, floor(bitscore)::BIGINT) AS header FROM h
-  WHERE query_id IS NOT NULL AND pident IS NOT NULL AND evalue IS NOT NULL AND bitscore IS NOT NULL AND NOT isnan(bitscore)""",
+    # Java's format rounds half up.
+    "hit_headers": f"""WITH {_H} SELECT hit_id, printf('>%s identity=%.2f evalue=%.2e score=%.1f', query_id, ((round(pident * 10)::BIGINT + 5) // 10) / 100, evalue, bitscore) AS header FROM h
+  WHERE query_id IS NOT NULL AND pident IS NOT NULL AND evalue IS NOT NULL AND bitscore IS NOT NULL""",
     "parsed_search_lines": f"""WITH {_H} SELECT hit_id, query_id, subject_id, pident, alignment_length, mismatches, gap_opens, query_start, query_end, subject_start, subject_end, evalue, bitscore FROM h
-  WHERE COLUMNS([{', '.join(repr(n) for n, _ in formats.SEARCH_FIELDS)}]) IS NOT NULL AND NOT isnan(bitscore)""",
+  WHERE COLUMNS([{', '.join(repr(n) for n, _ in formats.SEARCH_FIELDS)}]) IS NOT NULL""",
     "parsed_profile_lines": f"""WITH {_M} SELECT hit_id, target_name, regexp_replace(query_name, '\\s', '_', 'g') AS query_name, evalue, score, bias, domain_number, CASE WHEN domain_number IS NOT NULL THEN domain_evalue END AS domain_evalue,
   CASE WHEN domain_number IS NOT NULL AND domain_evalue IS NOT NULL THEN domain_score END AS domain_score FROM m WHERE target_name IS NOT NULL AND evalue IS NOT NULL AND score IS NOT NULL AND bias IS NOT NULL AND accession IS NOT NULL AND query_name IS NOT NULL""",
     "parsed_feature_lines": f"""WITH {_G} SELECT feature_id, seqid, coalesce(feature_type, '.') AS feature_type, start, "end", score, phase, trim(attributes['ID']) AS id FROM g""",
@@ -324,10 +339,10 @@ SELECT hit_id, round(CASE WHEN e > 0 AND e < 1e300 THEN log10(e) END, 5) AS log_
     "parsed_gene_headers": f'WITH {_P} SELECT protein_id, start, "end", strand FROM p WHERE start IS NOT NULL AND "end" IS NOT NULL AND strand IS NOT NULL',
     "feature_positions": f"""WITH {_G} SELECT seqid || '_' || split_part(attributes['ID'], '_', -1) AS protein_id, arg_min(start, feature_id) AS start, arg_min("end", feature_id) AS "end",
   arg_min(CASE WHEN strand = '+' THEN 1 ELSE -1 END, feature_id)::TINYINT AS strand, arg_min(seqid, feature_id) AS contig_id FROM g WHERE feature_type = 'CDS' AND coalesce(attributes['ID'], '') <> '' GROUP BY 1""",
-    "all_hits": f"""SELECT 'protein' AS kind, hit_id, {_C.format('protein_id')} AS protein_id, evalue, bitscore AS score FROM diamond_hits
+    "all_hits": f"""SELECT 'protein' AS kind, hit_id, {_C.format('protein_id')} AS protein_id, evalue, CASE WHEN NOT isnan(bitscore) THEN bitscore END AS score FROM diamond_hits
   UNION ALL SELECT 'profile', hit_id, {_C.format('protein_id')}, evalue, score FROM hmm_hits""",
     "proteins_in_both": f"""SELECT {_C.format('protein_id')} AS protein_id FROM diamond_hits WHERE {_C.format('protein_id')} IS NOT NULL INTERSECT SELECT {_C.format('protein_id')} FROM hmm_hits""",
     "repeated_hits": "SELECT hit_id, count(*) AS n FROM diamond_hits GROUP BY hit_id HAVING count(*) > 1",
     "null_counts": "SELECT " + ", ".join(f"count(*) - count({c}) AS {c}" for c in ("query_id", "protein_id", "contig_id", "evalue", "bitscore", "loaded_at")) + " FROM diamond_hits",
-    "top_scores": f"WITH {_H} SELECT hit_id, bitscore FROM h WHERE bitscore IS NOT NULL AND NOT isnan(bitscore) ORDER BY bitscore DESC, hit_id LIMIT 10",
+    "top_scores": f"WITH {_H} SELECT hit_id, bitscore FROM h WHERE bitscore IS NOT NULL ORDER BY bitscore DESC, hit_id LIMIT 10",
 }

@@ -25,7 +25,7 @@ def plain(v):
     if v is None or v is pd.NaT:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else (float(f"{v:.9g}"))
+        return v if math.isnan(v) else (float(f"{v:.9g}"))  # no NaN equals another, so a query and its SQL must give null instead
     if hasattr(v, "asDict"):
         v = v.asDict()
     if isinstance(v, dict):
