@@ -1,8 +1,9 @@
 """Short ungapped alignments between two sequences or within one: seeds, extension, overlap elimination.
 
-Seeds are found by equality joins on words, never by comparing all positions. With k mismatches allowed, a word is cut
-into k + 1 blocks, one of which must be equal; candidates meet on (pair, orientation, block) and are then counted.
-Positions count from 0. Orientations: 0 forward, 1 reverse complement.
+One narrow pass over the pairs: nothing is shuffled, and every column of a pair stays with its matches. The pairs of an Arrow
+batch are handled together as arrays, those of many letters in smaller portions. Seeds are found by sorted words, never by
+comparing all positions. With k mismatches allowed, a word is cut into k + 1 blocks, one of which must be equal; candidates
+meet on (pair, block) and are then counted. Positions count from 0. Orientations: 0 forward, 1 reverse complement.
 
 An extension takes one letter more to the right of both sequences, as long as the whole window has at most k
 mismatches, then to the left. For the reverse complement the second window is compared as a whole after turning it,
@@ -11,16 +12,20 @@ so such matches rarely grow; that is how the rule is defined.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.sequence import mismatch_positions, mismatches, regions_overlap, reverse_complement
+from seqloom.functions.sequence import COMPLEMENT, PLAIN, mismatch_positions, reverse_complement
 
-#: Letters from which on few words of two short sequences are the same by chance.
-SELECTIVE = 6
 ORIENTATIONS = ("forward", "reverse_complement")
+#: Letters of pairs, and candidates or letters of windows, that are looked at together.
+LETTERS, TOGETHER = 1 << 18, 1 << 20
+_TURN = str.maketrans(PLAIN, COMPLEMENT)
 
 
 @dataclass(frozen=True)
@@ -45,19 +50,76 @@ class Finder:
             raise ValueError("max_distance must not be less than min_distance")
 
 
-def _words(pairs: DataFrame, text: str, width: int, at: str) -> DataFrame:
-    n = F.length(text) - width + 1
-    place = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
-    return pairs.select("pair_id", text, place.alias(at)).select(
-        "pair_id", at, F.substring(text, F.col(at) + 1, F.lit(width)).alias("word")
-    )
-
-
-def _turned(words: DataFrame, finder: Finder) -> DataFrame:
-    """The second sequence's words as they must look in the first one, for each orientation."""
-    looks = [(o, c) for o, c, on in ((0, F.col("word"), finder.check_forward), (1, reverse_complement("word"), finder.check_revcomp)) if on]
-    each = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), c.alias("word")) for o, c in looks]))
-    return words.select("pair_id", "j", each.alias("x")).select("pair_id", "j", "x.o", "x.word")
+class Pairs:
+    """The sequences of pairs as arrays of small numbers: first, second, and second turned, one after another."""
+
+    def __init__(self, first: list[str], second: list[str]):
+        texts = [*first, *second, *(t[::-1].translate(_TURN) for t in second)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        letters, codes = np.unique(points, return_inverse=True)
+        self.codes = codes.astype(np.int64)
+        self.bits = max(1, int(letters.size - 1).bit_length())
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        n = len(first)
+        self.size = (sizes[:n], sizes[n : 2 * n])
+        #: Where each pair's first sequence begins, its second one, and that turned.
+        self.at = (begins[:n], begins[n : 2 * n], begins[2 * n :])
+
+    def words(self, width: int) -> np.ndarray:
+        """A number for the word of that width at each place: equal exactly if the words are."""
+        per = 63 // self.bits
+        n = max(0, self.codes.size - width + 1)
+        out = None
+        for begin in range(0, width, per):
+            part = np.zeros(n, np.int64)
+            for k in range(begin, min(begin + per, width)):
+                part = part << self.bits | self.codes[k : k + n]
+            if out is None:
+                out = part
+            else:
+                first, second = (np.unique(x, return_inverse=True)[1] for x in (out, part))
+                out = first * (int(second.max(initial=0)) + 1) + second
+        return out
+
+    def places(self, side: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pair and the position of every word of the first (0) or second (1) sequences."""
+        many = np.maximum(self.size[side] - width + 1, 0)
+        row = np.repeat(np.arange(many.size), many)
+        return row, np.arange(row.size) - np.repeat(np.cumsum(many) - many, many)
+
+    def second(self, row: np.ndarray, j: np.ndarray, n: np.ndarray | int, o: int) -> np.ndarray:
+        """Where the window of n letters at j of the second sequence begins, turned for the reverse complement."""
+        return self.at[2][row] + self.size[1][row] - j - n if o else self.at[1][row] + j
+
+    def unlike(self, row: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, o: int) -> np.ndarray:
+        """Mismatches of windows of n letters."""
+        out = np.zeros(row.size, np.int64)
+        most = int(n.max(initial=1))
+        a, b, step = self.at[0][row] + i, self.second(row, j, n, o), np.arange(most)
+        for k in range(0, row.size, max(1, TOGETHER // most)):
+            part = slice(k, k + max(1, TOGETHER // most))
+            inside = step < n[part, None]
+            x, y = (np.where(inside, at[part, None] + step, 0) for at in (a, b))
+            out[part] = ((self.codes[x] != self.codes[y]) & inside).sum(axis=1)
+        return out
+
+
+def _met(key1: np.ndarray, key2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places with equal keys, in portions."""
+    order = np.argsort(key2, kind="stable")
+    ordered = key2[order]
+    first = np.searchsorted(ordered, key1)
+    many = np.searchsorted(ordered, key1, "right") - first
+    own = np.flatnonzero(many)
+    first, many = first[own], many[own]
+    total, at = np.cumsum(many), 0
+    while at < own.size:
+        to = max(at + 1, int(np.searchsorted(total, total[at] - many[at] + TOGETHER, "right")))
+        m = many[at:to]
+        inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(own[at:to], m), order[np.repeat(first[at:to], m) + inner]
+        at = to
 
 
 def _blocks(finder: Finder) -> list[tuple[int, int]]:
@@ -67,167 +129,134 @@ def _blocks(finder: Finder) -> list[tuple[int, int]]:
     return [(edges[p], edges[p + 1] - edges[p]) for p in range(parts)]
 
 
-def _joined_seeds(pairs: DataFrame, finder: Finder) -> DataFrame:
-    """Seeds by equality joins on words or their blocks: for sequences of any length."""
-    first = _words(pairs, "s1", finder.min_length, "i")
-    second = _turned(_words(pairs, "s2", finder.min_length, "j"), finder)
-    if finder.max_mismatches == 0:
-        return first.join(second, ["pair_id", "word"]).select("pair_id", "i", "j", "o")
-    blocks = F.array(*[F.struct(F.lit(no).alias("no"), F.substring("word", at + 1, n).alias("block")) for no, (at, n) in enumerate(_blocks(finder))])
-    cut = lambda df, name: df.withColumn("b", F.explode(blocks)).select("*", "b.*").drop("b").withColumnRenamed("word", name)
-    met = cut(first, "w1").join(cut(second, "w2"), ["pair_id", "no", "block"])
-    good = met.where(mismatches("w1", "w2") <= finder.max_mismatches)
-    return good.select("pair_id", "i", "j", "o").distinct()
-
-
-def _narrow_seeds(pairs: DataFrame, finder: Finder) -> DataFrame:
-    """The same seeds without a shuffle, for sequences whose words fit in a row: few words are in both sequences, and
-    the hashed intersection of the two rows' words finds them."""
-    w, looks = finder.min_length, [o for o, on in ((0, finder.check_forward), (1, finder.check_revcomp)) if on]
-    none = F.array().cast("array<int>")
-    places = lambda text: F.when(F.length(text) >= w, F.sequence(F.lit(0), F.length(text) - w)).otherwise(none)
-    rows = pairs.select("pair_id", "s1", "s2", places("s1").alias("at1"), places("s2").alias("at2"))
-    word2 = lambda j, o: (reverse_complement if o else lambda x: x)(F.substring(F.col("s2"), j + 1, F.lit(w)))
-    made = {}
-    for no, (at, n) in enumerate(_blocks(finder)):
-        made[f"a{no}"] = F.transform("at1", lambda i: F.substring(F.col("s1"), i + at + 1, F.lit(n)))
-        for o in looks:
-            made[f"b{no}_{o}"] = F.transform("at2", lambda j: F.substring(word2(j, o), F.lit(at + 1), F.lit(n)))
-    # A generator, so that the arrays are made once and not in every expression that uses them.
-    rows = rows.select("pair_id", "s1", "s2", "at1", "at2", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
-
-    def where(places: str, words: str, key: Column) -> Column:
-        return F.filter(places, lambda i: F.get(words, i) == key)
-
-    def found(no: int, o: int) -> Column:
-        a, b = f"a{no}", f"b{no}_{o}"
-        return F.transform(F.array_intersect(a, b), lambda key: F.struct(F.lit(o).alias("o"), where("at1", a, key).alias("is"), where("at2", b, key).alias("js")))
-
-    seeds = F.concat(*[found(no, o) for no in range(finder.max_mismatches + 1) for o in looks])
-    met = rows.select("pair_id", "s1", "s2", F.explode(seeds).alias("x")).select("pair_id", "s1", "s2", "x.o", F.explode("x.is").alias("i"), "x.js")
-    met = met.select("pair_id", "s1", "s2", "o", "i", F.explode("js").alias("j"))
-    if finder.max_mismatches:
-        turned = F.when(F.col("o") == 1, word2(F.col("j"), 1)).otherwise(word2(F.col("j"), 0))
-        met = met.where(mismatches(F.substring(F.col("s1"), F.col("i") + 1, F.lit(w)), turned) <= finder.max_mismatches)
-        return met.select("pair_id", "i", "j", "o").distinct()
-    return met.select("pair_id", "i", "j", "o")
-
-
-def find_seeds(pairs: DataFrame, finder: Finder, narrow: int = 20_000) -> DataFrame:
-    """All word pairs with at most the allowed mismatches: ``pair_id, i, j, o``.
-
-    ``pairs`` has ``pair_id``, ``s1`` and ``s2`` in upper case. Null sequences have no words. Pairs of sequences of up
-    to ``narrow`` letters are searched within their rows, longer ones by joins; the seeds are the same. Short blocks,
-    which any two sequences share, are always joined.
+def _seeds(pairs: Pairs, finder: Finder, o: int, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with at most the allowed mismatches: pair, and positions in both sequences.
+
+    Of forward seeds without mismatches that follow each other on a diagonal, which grow into one match, only the first.
+    """
+    w, k = finder.min_length, finder.max_mismatches
+    row1, i = pairs.places(0, w)
+    row2, j = pairs.places(1, w)
+    a, b = pairs.at[0][row1] + i, pairs.second(row2, j, w, o)
+    found = []
+    for at, n in _blocks(finder):
+        words = pairs.words(n)
+        known, number = np.unique(np.r_[words[a + at], words[b + at]], return_inverse=True)
+        key = np.r_[row1, row2] * max(1, known.size) + number
+        for x, y in _met(key[: a.size], key[a.size :]):
+            if within:
+                apart = j[y] - i[x]
+                most = np.iinfo(np.int64).max if finder.max_distance is None else finder.max_distance
+                good = (apart >= max(finder.min_distance, w)) & (apart <= most)
+                x, y = x[good], y[good]
+            if k:
+                good = pairs.unlike(row1[x], i[x], j[y], np.full(x.size, w), o) <= k
+                x, y = x[good], y[good]
+            elif not o:
+                good = (i[x] == 0) | (j[y] == 0) | (pairs.codes[a[x] - 1] != pairs.codes[b[y] - 1])
+                x, y = x[good], y[good]
+            found.append(np.stack([row1[x], i[x], j[y]]))
+    out = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    return tuple(np.unique(out, axis=1) if k and out.size else out)
+
+
+def _grown(pairs: Pairs, row: np.ndarray, i: np.ndarray, j: np.ndarray, finder: Finder, o: int) -> tuple[np.ndarray, ...]:
+    """Where seeds grown right, then left begin, their lengths and mismatches."""
+    n = np.full(row.size, finder.min_length)
+    wrong = pairs.unlike(row, i, j, n, o) if finder.max_mismatches else np.zeros(row.size, np.int64)
+    p, q = i.copy(), j.copy()
+    for to_left in (False, True):
+        room = np.minimum(p, q) if to_left else np.minimum(pairs.size[0][row] - p, pairs.size[1][row] - q) - n
+        on, step = np.flatnonzero(room > 0), 0
+        while on.size:
+            step += 1
+            s, t = (p[on] - 1, q[on] - 1) if to_left else (p[on], q[on])
+            if o:
+                m = pairs.unlike(row[on], s, t, n[on] + 1, o)
+            else:
+                ahead = 0 if to_left else n[on]
+                m = wrong[on] + (pairs.codes[pairs.at[0][row[on]] + s + ahead] != pairs.codes[pairs.at[1][row[on]] + t + ahead])
+            fits = m <= finder.max_mismatches
+            on, s, t, m = on[fits], s[fits], t[fits], m[fits]
+            p[on], q[on], wrong[on] = s, t, m
+            n[on] += 1
+            on = on[room[on] > step]
+    return p, q, n, wrong
+
+
+def _kept(row, o, i, j, p, q, n, m) -> np.ndarray:
+    """Of each pair's matches, longest and cleanest first, those that overlap no kept one of their orientation on both sequences.
+
+    Equally good ones are taken in the order of their seeds: by i, forward before reverse, by j. In every round the best match
+    left of each pair is kept, and what overlaps it is dropped.
     """
-    frequent = min(n for _, n in _blocks(finder)) < SELECTIVE
-    if frequent:
-        return _joined_seeds(pairs, finder)
-    short = (F.length("s1") <= narrow) & (F.length("s2") <= narrow)
-    return _narrow_seeds(pairs.where(short), finder).unionByName(_joined_seeds(pairs.where(~short), finder))
-
-
-def _grow(a: Column, b: Column, most: Column, k: int, window1, window2) -> Column:
-    """How many single steps are possible before the first window with more than k mismatches."""
-    fits = lambda n: (window1(n) == window2(n)) if k == 0 else (mismatches(window1(n), window2(n)) <= k)
-    steps = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
-    # A failed step ends the growth: later ones are not looked at, as the state stays behind their number.
-    return F.aggregate(steps, F.lit(0), lambda done, n: F.when(done == n - 1, F.when(fits(n), n).otherwise(done)).otherwise(done))
-
-
-def _extended(seeds: DataFrame, k: int, width: int) -> DataFrame:
-    """Seeds with ``s1`` and ``s2`` grown right, then left: adds ``p1, p2, n``."""
-    s1, s2, turn = F.col("s1"), F.col("s2"), F.col("o") == 1
-
-    def part1(start: Column, n: Column) -> Column:
-        return F.substring(s1, start + 1, n)
-
-    def part2(start: Column, n: Column) -> Column:
-        raw = F.substring(s2, start + 1, n)
-        return F.when(turn, reverse_complement(raw)).otherwise(raw)
-
-    i, j = F.col("i"), F.col("j")
-    right = _grow(
-        i, j, F.least(F.length(s1) - i, F.length(s2) - j) - width, k,
-        lambda n: part1(i, n + width), lambda n: part2(j, n + width),
-    )
-    seeds = seeds.withColumn("n", right + width)
-    left = _grow(
-        i, j, F.least(i, j), k, lambda n: part1(i - n, F.col("n") + n), lambda n: part2(j - n, F.col("n") + n)
-    )
-    seeds = seeds.withColumn("grown", left)
-    return seeds.withColumns({"p1": i - F.col("grown"), "p2": j - F.col("grown"), "n": F.col("n") + F.col("grown")})
-
-
-def _islands(seeds: DataFrame, width: int) -> DataFrame:
-    """Forward seeds without mismatches grown at once: a run of seeds on a diagonal is one match."""
-    run = Window.partitionBy("pair_id", "o", F.col("j") - F.col("i")).orderBy("i")
-    return (
-        seeds.withColumn("run", F.col("i") - F.row_number().over(run))
-        .groupBy("pair_id", "o", (F.col("j") - F.col("i")).alias("diagonal"), "run")
-        .agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.max("i") - F.min("i") + width).alias("n"))
-        .select("pair_id", "o", "i", "j", F.col("i").alias("p1"), F.col("j").alias("p2"), "n", F.lit(0).alias("m"))
-    )
-
-
-def extend_seeds(seeds: DataFrame, pairs: DataFrame, finder: Finder) -> DataFrame:
-    """Distinct grown matches ``pair_id, o, i, j, p1, p2, n, m``; (i, j) is the first seed that grows into the match."""
-    k, width = finder.max_mismatches, finder.min_length
-    turned = seeds.where("o = 1") if k == 0 else seeds
-    grown = _extended(turned.join(pairs.select("pair_id", "s1", "s2"), "pair_id"), k, width)
-    own = F.substring("s1", F.col("p1") + 1, F.col("n"))
-    raw = F.substring("s2", F.col("p2") + 1, F.col("n"))
-    m = F.lit(0) if k == 0 else mismatches(own, F.when(F.col("o") == 1, reverse_complement(raw)).otherwise(raw))
-    grown = grown.withColumn("m", m).groupBy("pair_id", "o", "p1", "p2", "n", "m").agg(F.min(F.struct("i", "j")).alias("seed"))
-    grown = grown.select("pair_id", "o", "seed.i", "seed.j", "p1", "p2", "n", "m")
-    return grown if k else _islands(seeds.where("o = 0"), width).unionByName(grown)
-
-
-def eliminate_overlaps(matches: DataFrame) -> DataFrame:
-    """Per pair, longest and cleanest first, the matches that overlap no kept one of their orientation on both sequences.
-
-    Equally good matches are taken in the order of their seeds: by i, forward before reverse, by j.
+    left = np.lexsort((q, p, j, o, i, m, -n, row))
+    kept = []
+    while left.size:
+        begins = np.flatnonzero(np.r_[True, row[left][1:] != row[left][:-1]])
+        best = left[begins]
+        kept.append(best)
+        y = np.repeat(best, np.diff(np.r_[begins, left.size]))
+        clash = (o[left] == o[y]) & (p[left] < p[y] + n[y]) & (p[y] < p[left] + n[left]) & (q[left] < q[y] + n[y]) & (q[y] < q[left] + n[left])
+        left = left[~clash]
+    return np.sort(np.concatenate(kept)) if kept else left
+
+
+def _matches(first: list[str], second: list[str], finder: Finder, within: bool) -> tuple[np.ndarray, ...]:
+    """The kept matches of these pairs: pair, orientation, begin in both sequences, length, mismatches."""
+    pairs = Pairs(first, second)
+    found = []
+    for o, wanted in enumerate((finder.check_forward, finder.check_revcomp)):
+        if wanted and pairs.codes.size >= finder.min_length:
+            row, i, j = _seeds(pairs, finder, o, within)
+            found.append(np.stack([row, np.full(row.size, o), i, j, *_grown(pairs, row, i, j, finder, o)]))
+    row, o, i, j, p, q, n, m = np.concatenate(found, axis=1) if found else np.zeros((8, 0), np.int64)
+    # One of each grown match, with its first seed.
+    order = np.lexsort((j, i, m, n, q, p, o, row))
+    same = [x[order] for x in (row, o, p, q, n, m)]
+    order = order[np.r_[True, np.any([x[1:] != x[:-1] for x in same], axis=0)]] if order.size else order
+    own = [x[order] for x in (row, o, i, j, p, q, n, m)]
+    k = _kept(*own)
+    return tuple(own[c][k] for c in (0, 1, 4, 5, 6, 7))
+
+
+_MADE = ("the o", "the p1", "the p2", "the n", "the m")
+RESULT = ("pos1", "pos2", "length", "orientation", "mismatches", "mismatch_positions", "seq1", "seq2")
+
+
+def align_pairs(pairs: DataFrame, finder: Finder = Finder(), within: bool = False) -> DataFrame:
+    """Alignments of pairs as rows with all columns of their pair, and those of RESULT, which replace columns of these names.
+
+    ``pairs`` has ``s1`` and ``s2`` (any case; they stay as they are). Pairs with a null or short sequence have no row.
     """
-    rank = F.struct((-F.col("n")).alias("long"), "m", "i", "o", "j", "p1", "p2", "n")
-
-    def clash(a: Column, b: Column) -> Column:
-        return (
-            (a["o"] == b["o"])
-            & regions_overlap(a["p1"], a["p1"] + a["n"], b["p1"], b["p1"] + b["n"])
-            & regions_overlap(a["p2"], a["p2"] + a["n"], b["p2"], b["p2"] + b["n"])
-        )
-
-    kind = "array<struct<long:int,m:int,i:int,o:int,j:int,p1:int,p2:int,n:int>>"
-    kept = F.aggregate(
-        F.array_sort("all"),
-        F.array().cast(kind),
-        lambda done, x: F.when(F.exists(done, lambda y: clash(x, y)), done).otherwise(F.array_append(done, x)),
-    )
-    ints = [F.col(c).cast("int").alias(c) for c in ("o", "i", "j", "p1", "p2", "n", "m")]
-    return (
-        matches.select("pair_id", *ints)
-        .groupBy("pair_id")
-        .agg(F.collect_list(rank).alias("all"))
-        .select("pair_id", F.explode(kept).alias("x"))
-        .select("pair_id", "x.o", "x.i", "x.j", "x.p1", "x.p2", "x.n", "x.m")
-    )
-
-
-def _described(kept: DataFrame, pairs: DataFrame) -> DataFrame:
-    own = F.substring("s1", F.col("p1") + 1, F.col("n"))
-    raw = F.substring("s2", F.col("p2") + 1, F.col("n"))
-    turned = F.when(F.col("o") == 1, reverse_complement(raw)).otherwise(raw)
-    return kept.join(pairs.select("pair_id", "s1", "s2"), "pair_id").select(
-        "pair_id",
-        F.col("p1").alias("pos1"),
-        F.col("p2").alias("pos2"),
-        F.col("n").alias("length"),
-        F.element_at(F.array(*map(F.lit, ORIENTATIONS)), F.col("o") + 1).alias("orientation"),
-        F.col("m").alias("mismatches"),
-        mismatch_positions(own, turned).alias("mismatch_positions"),
-        own.alias("seq1"),
-        raw.alias("seq2"),
-    )
+    rows = pairs.drop(*RESULT)
+    names = rows.columns
+    rows = rows.where((F.length("s1") >= finder.min_length) & (F.length("s2") >= finder.min_length))
+    rows = rows.withColumns({"the s1": F.upper("s1"), "the s2": F.upper("s2")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = batch.column("the s1").to_pylist(), batch.column("the s2").to_pylist()
+            begin, size = 0, 0
+            for end, (a, b) in enumerate(zip(first, second), 1):
+                size += len(a) + len(b)
+                if size < LETTERS and end < len(first):
+                    continue
+                row, *made = _matches(first[begin:end], second[begin:end], finder, within)
+                if row.size:
+                    own = batch.take(pa.array(row + begin))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *[pa.array(x.astype(np.int32)) for x in made]], [*batch.schema.names, *_MADE])
+                begin, size = end, 0
+
+    shape = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes] + [f"`{c}` int" for c in _MADE])
+    found = rows.mapInArrow(run, shape)
+    o, p, q, n, m = (F.col(c) for c in _MADE)
+    own, raw = F.substring("the s1", p + 1, n), F.substring("the s2", q + 1, n)
+    turned = F.when(o == 1, reverse_complement(raw)).otherwise(raw)
+    where = F.when(m == 0, F.array().cast("array<int>")).otherwise(mismatch_positions(own, turned))
+    way = F.element_at(F.array(*map(F.lit, ORIENTATIONS)), o + 1)
+    made = (p, q, n, way, m, where, own, raw)
+    return found.select(*[f"`{c}`" for c in names], *[c.alias(name) for c, name in zip(made, RESULT)])
 
 
 def find_between(pairs: DataFrame, finder: Finder = Finder()) -> DataFrame:
@@ -240,9 +269,8 @@ def find_between(pairs: DataFrame, finder: Finder = Finder()) -> DataFrame:
         ``pair_id, pos1, pos2, length, orientation, mismatches, mismatch_positions, seq1, seq2``; seq2 as it stands
         in s2. Pairs with a null id, or a null or short sequence, have none. N matches only N.
     """
-    upper = pairs.where(F.col("pair_id").isNotNull()).select("pair_id", F.upper("s1").alias("s1"), F.upper("s2").alias("s2"))
-    seeds = find_seeds(upper, finder)
-    return _described(eliminate_overlaps(extend_seeds(seeds, upper, finder)), upper)
+    rows = pairs.where(F.col("pair_id").isNotNull()).select("pair_id", "s1", "s2")
+    return align_pairs(rows, finder).select("pair_id", *RESULT)
 
 
 def find_within(sequences: DataFrame, finder: Finder = Finder()) -> DataFrame:
@@ -254,10 +282,5 @@ def find_within(sequences: DataFrame, finder: Finder = Finder()) -> DataFrame:
     Returns:
         As ``find_between``, with ``distance`` = pos2 - pos1.
     """
-    upper = sequences.where(F.col("pair_id").isNotNull()).select("pair_id", F.upper("seq").alias("s1"), F.upper("seq").alias("s2"))
-    least = max(finder.min_distance, finder.min_length)
-    seeds = find_seeds(upper, finder).where(F.col("j") - F.col("i") >= least)
-    if finder.max_distance is not None:
-        seeds = seeds.where(F.col("j") - F.col("i") <= finder.max_distance)
-    found = _described(eliminate_overlaps(extend_seeds(seeds, upper, finder)), upper)
-    return found.withColumn("distance", F.col("pos2") - F.col("pos1"))
+    rows = sequences.where(F.col("pair_id").isNotNull()).select("pair_id", F.col("seq").alias("s1"), F.col("seq").alias("s2"))
+    return align_pairs(rows, finder, within=True).select("pair_id", *RESULT, (F.col("pos2") - F.col("pos1")).alias("distance"))

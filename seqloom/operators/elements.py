@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.common import clean_id
-from seqloom.operators.alignments import Finder, find_between
+from seqloom.operators.alignments import Finder, align_pairs
 from seqloom.operators.filters import Pipeline, apply_filters, summarise
 from seqloom.operators.gapped import extend_with_gaps
 
@@ -44,9 +44,8 @@ def element_pairs(elements: DataFrame) -> DataFrame:
 
 def element_alignments(elements: DataFrame, finder: Finder = ELEMENT_FINDER, gaps: bool = False) -> DataFrame:
     """Alignments of all pairs of all elements, with their provenance; with ``gaps`` also their gapped extension."""
-    pairs = element_pairs(elements)
-    found = find_between(pairs, finder).join(pairs, "pair_id")
-    return (extend_with_gaps(found) if gaps else found).drop("pair_id", *([] if gaps else ["s1", "s2"]))
+    found = align_pairs(element_pairs(elements).drop("pair_id"), finder)
+    return extend_with_gaps(found) if gaps else found.drop("s1", "s2")
 
 
 def filter_inputs(alignments: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from seqloom.operators.alignments import Finder, find_between, find_seeds, find_within
+from seqloom.operators import alignments as A
+from seqloom.operators.alignments import Finder, find_between, find_within
 from seqloom.operators.gapped import Scoring, align_windows, extend_with_gaps
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -51,12 +52,19 @@ def pairs(seed, n):
     return out + [(n, None, "ACGT", 1), (n + 1, "ACG", "ACGTACGTAC", 1), (n + 2, "", "", 1), (None, "ACGTACGTAC", "ACGTACGTAC", 1)]
 
 
-@pytest.mark.parametrize("w,k", [(6, 0), (13, 1)])
-def test_seeds_within_rows_and_by_joins_are_the_same(spark, w, k):
-    df = spark.createDataFrame(pairs(5, 6), "pair_id int, s1 string, s2 string, i int").where("pair_id is not null")
-    finder = Finder(min_length=w, max_mismatches=k)
-    both = [sorted(map(tuple, find_seeds(df, finder, narrow).collect())) for narrow in (0, 20_000)]
-    assert both[0] == both[1] and both[0]
+def test_small_portions_and_long_words_change_nothing(spark, monkeypatch):
+    """Portions of a few pairs and candidates; words of more letters than a number holds; other letters than bases."""
+    rows = [(n, (s1 or "") * 2 + "é-N", (s2 or "") * 2 + "é-N", 1) for n, s1, s2, _ in pairs(5, 6)]
+    for finder in (Finder(6), Finder(13, 1), Finder(25), Finder(30, 1)):
+        texts = [r[1] for r in rows], [r[2] for r in rows]
+        whole = [x.tolist() for x in A._matches(*texts, finder, False)]
+        monkeypatch.setattr(A, "TOGETHER", 5)
+        alone = [[x.tolist() for x in A._matches([a], [b], finder, False)[1:]] for a, b in zip(*texts)]
+        monkeypatch.undo()
+        assert [sum((one[c] for one in alone), []) for c in range(5)] == whole[1:]
+        for n, (a, b) in enumerate(zip(*texts)):
+            own = {(p, q, m, A.ORIENTATIONS[o], k) for row, o, p, q, m, k in zip(*whole) if row == n}
+            assert own == model(a, b, finder.min_length, finder.max_mismatches)
 
 
 @pytest.mark.parametrize("w,k", [(6, 0), (8, 1), (7, 2)])
