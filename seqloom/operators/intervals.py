@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from seqloom.common import shared_checkpoint
 
-MAX_SHARDS = 256
-
 
 def merge_intervals(
     df: DataFrame, entity: Sequence[str], start: str, end: str, rows_per_shard: int = 1_000_000
@@ -92,19 +90,18 @@ def _span(kind: str, start: Column, end: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, keys: list[str], rows_per_shard: int) -> DataFrame:
-    """The first positions of shards 1, 2, ... of every huge entity: at most rows / rows_per_shard entities."""
+    """The first positions of shards 1, 2, ... of every huge entity: at most rows / rows_per_shard of them in all."""
     huge = rows.groupBy(*keys).count().where(F.col("count") > rows_per_shard)
-    quantiles = [i / MAX_SHARDS for i in range(1, MAX_SHARDS)]
-    wanted = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("count") / rows_per_shard)).cast("int")
+    most = huge.agg(F.max("count")).first()[0] or 0  # one number: how many cuts the largest entity needs
+    parts = max(2, -(-most // rows_per_shard))
+    wanted = F.greatest(F.ceil(F.col("count") / rows_per_shard).cast("int"), F.lit(2))
     picked = F.transform(
-        F.sequence(F.lit(1), F.col("shards") - 1),
-        lambda i: F.element_at("q", F.greatest(F.lit(1), (i * MAX_SHARDS / F.col("shards")).cast("int"))),
+        F.sequence(F.lit(1), wanted - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.least((i * parts / wanted).cast("int"), F.lit(parts - 1))))
     )
     return (
         rows.join(F.broadcast(huge), keys)
         .groupBy(*keys)
-        .agg(F.percentile_approx("s", quantiles, 10_000).alias("q"), F.max("count").alias("count"))
-        .withColumn("shards", F.greatest(wanted, F.lit(2)))
+        .agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("q"), F.max("count").alias("count"))
         .select(*keys, F.array_sort(F.array_distinct(picked)).alias("cuts"))
     )
 

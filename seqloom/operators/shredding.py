@@ -12,7 +12,7 @@ adds one for being there, one for having a slot, and its element one for not bei
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +36,14 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Node:
-    """An object of the schema: its path, the levels at which it is there, and its own leaves."""
+    """An object of the schema: its path, the levels at which it is there, its own leaves, and the leaf that shows whether it is
+    there: one of its own, the slimmest, or of an object in it."""
 
     path: tuple[str, ...]
     repetition: int
     definition: int
     leaves: tuple[Leaf, ...]
+    witness: Leaf | None = None
 
     @property
     def name(self) -> str:
@@ -73,7 +75,9 @@ def nodes(schema: T.StructType) -> list[Node]:
                 found.append(Node(at, sr, sd, (Leaf(at, sr, sd, sub, at),)))
 
     visit(schema, (), 0, 0)
-    return found
+    slim = lambda leaf: isinstance(leaf.kind, T.StringType)
+    below = {n.path: n.leaves or [x for m in found if m.path[: len(n.path)] == n.path for x in m.leaves] for n in found}
+    return [replace(n, witness=min(below[n.path], key=slim)) for n in found if below[n.path]]
 
 
 def shred_column(schema: T.StructType, leaf: Leaf, values: bool = True) -> Column:
@@ -106,12 +110,14 @@ def shred_column(schema: T.StructType, leaf: Leaf, values: bool = True) -> Colum
 def places(node: Node, entries: Column) -> Column:
     """For each entry the places (from 0) in the arrays around it, outermost first, from the repetition levels.
 
-    An object outside any array has the one place 0.
+    An object outside any array has the one place 0. In one array the place is the number of entries that have continued it,
+    level 1, since level 0 began the record: the distance from the entry of level 0.
     """
     if node.repetition == 0:
         return F.transform(entries, lambda x: F.array(F.lit(0)))
     if node.repetition == 1:
-        return F.transform(entries, lambda x, i: F.array(i))
+        begun = F.array_position(F.transform(entries, lambda x: x["r"]), 0).cast("int") - 1
+        return F.transform(entries, lambda x, i: F.array(i - begun))
     deep = node.repetition
     zero = F.array(*[F.lit(0)] * deep)
 
@@ -129,13 +135,19 @@ def places(node: Node, entries: Column) -> Column:
     )
 
 
+def _begun(node: Node, entries: Column) -> Column:
+    """Of the witness's entries those that begin an object of the node: deeper repetitions go on within one."""
+    return entries if node.witness.max_repetition == node.repetition else F.filter(entries, lambda x: x["r"] <= node.repetition)
+
+
 def child_places(schema: T.StructType, wanted: dict[str, str]) -> Column:
     """One array of (child_kind, child_no) for the objects in ``wanted`` (path to kind) that are there.
 
     Built from the level entries of one leaf of each object; the innermost place is the child's number.
     """
+
     def children(node: Node) -> Column:
-        entries = shred_column(schema, _slimmest(node), values=False)
+        entries = _begun(node, shred_column(schema, node.witness, values=False))
         child = lambda e, p: F.when(
             e["d"] >= node.definition,
             F.struct(F.lit(wanted[node.name]).alias("child_kind"), F.element_at(p, -1).alias("child_no")),
@@ -145,10 +157,14 @@ def child_places(schema: T.StructType, wanted: dict[str, str]) -> Column:
     return F.concat(*[children(node) for node in nodes(schema) if node.name in wanted])
 
 
-def _slimmest(node: Node) -> Leaf:
-    if not node.leaves:
-        raise ValueError(f"{node.name} has no leaf of its own")
-    return min(node.leaves, key=lambda x: isinstance(x.kind, T.StringType))
+def node_rows(schema: T.StructType, node: Node) -> Column:
+    """One array of (places, child_no, leaves) for the objects of a node that are there, from the level entries of its leaves."""
+    first = _begun(node, shred_column(schema, node.witness, values=False))
+    streams = {f"l{i}": shred_column(schema, leaf) for i, leaf in enumerate(node.leaves)}
+    zipped = F.arrays_zip(first.alias("e"), places(node, first).alias("p"), *[c.alias(n) for n, c in streams.items()])
+    there = F.filter(zipped, lambda z: z["e"]["d"] >= node.definition)
+    leaves = lambda z: [z[f"l{i}"]["v"].alias(leaf.path[-1]) for i, leaf in enumerate(node.leaves)]
+    return F.transform(there, lambda z: F.struct(z["p"].alias("places"), F.element_at(z["p"], -1).alias("child_no"), *leaves(z)))
 
 
 def shred_tables(df: DataFrame, key: str, columns: list[str] | None = None) -> dict[str, DataFrame]:
@@ -164,17 +180,6 @@ def shred_tables(df: DataFrame, key: str, columns: list[str] | None = None) -> d
     schema = T.StructType([df.schema[c] for c in columns])
     tables = {}
     for node in nodes(schema):
-        if not node.leaves:
-            continue
-        streams = [shred_column(schema, leaf).alias(f"l{i}") for i, leaf in enumerate(node.leaves)]
-        flat = df.select(F.col(f"`{key}`").alias("record_key"), *streams)
-        flat = flat.withColumn("p", places(node, F.col("l0")))
-        zipped = F.arrays_zip("p", *[f"l{i}" for i in range(len(node.leaves))])
-        rows = flat.select("record_key", F.explode(zipped).alias("z")).where(F.col("z.l0.d") >= node.definition)
-        tables[node.name] = rows.select(
-            "record_key",
-            F.col("z.p").alias("places"),
-            F.element_at("z.p", -1).alias("child_no"),
-            *[F.col(f"z.l{i}.v").alias(leaf.path[-1]) for i, leaf in enumerate(node.leaves)],
-        )
+        rows = df.select(F.col(f"`{key}`").alias("record_key"), F.explode(node_rows(schema, node)).alias("x"))
+        tables[node.name] = rows.select("record_key", "x.*")
     return tables

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from seqloom.common import clean_id, latest_version, table
 from seqloom.operators.intervals import merge_intervals
 from seqloom.operators.references import orphan_references, orphans_by_period
-from seqloom.operators.shredding import child_places, shred_tables
+from seqloom.operators.shredding import child_places, node_rows, nodes
 from seqloom.sources.raw_lines import parse_lines
 
 CHILDREN = {
@@ -27,7 +27,7 @@ NESTED = ["is_element", "flanking_upstream", "flanking_downstream", "orf_annotat
 
 
 def _parsed(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_lines(table(spark, sf, "raw_lines"), "raw_id", "line_format", "line_text")
+    return parse_lines(table(spark, sf, "raw_lines"), "raw_id", "line_format", "line_text", "file_basename", "line_no")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_errors(spark: SparkSession, sf: str) -> DataFrame:
     return _parsed(spark, sf).where("outcome = 'error'").select(
-        F.col("line_id").alias("raw_id"), "line_format", "reason", "error_column", "line_text"
+        F.col("line_id").alias("raw_id"), "line_format", "reason", "error_line", "error_column", "line_text"
     )
 
 
@@ -59,13 +59,6 @@ def p2_attributes(spark: SparkSession, sf: str) -> DataFrame:
 # Problem 3
 
 
-def current_elements(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest row of every is_id, with ``is_id`` and the nested columns."""
-    rows = table(spark, sf, "is_elements")
-    newest = latest_version(rows, clean_id("is_id"), F.col("loaded_at"), F.struct(*NESTED))
-    return newest.select(F.col("key").alias("is_id"), "payload.*")
-
-
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "is_elements")
     schema = T.StructType([rows.schema[c] for c in NESTED])
@@ -75,7 +68,12 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _shredded(name: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        flat = shred_tables(current_elements(spark, sf), "is_id", NESTED)[name]
+        rows = table(spark, sf, "is_elements")
+        schema = T.StructType([rows.schema[c] for c in NESTED])
+        node = next(n for n in nodes(schema) if n.name == name)
+        # Shredded before the newest row is chosen, so that only this object's leaves move.
+        newest = latest_version(rows, clean_id("is_id"), F.col("loaded_at"), node_rows(schema, node))
+        flat = newest.select(F.col("key").alias("record_key"), F.explode("payload").alias("x")).select("record_key", "x.*")
         return flat.withColumnRenamed("is_id", "own_is_id").withColumnRenamed("record_key", "is_id").drop("places")
 
     return query

@@ -11,7 +11,7 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -223,17 +223,17 @@ def read_profile_hits(spark: SparkSession, paths: Paths) -> DataFrame:
 def read_elements(spark: SparkSession, paths: Paths) -> DataFrame:
     """Element records from JSON arrays; missing keys are null. Files that aren't arrays raise an error when read."""
     names = list(paths) if not isinstance(paths, str) else [paths]
-    first = F.regexp_extract("value", r"^\s*(\S)", 1)
-    whole = spark.read.option("wholetext", True).text(names).where((first != "[") & (first != ""))
-    if not whole.isEmpty():
+    lines = _ranked(spark.read, names).where(F.btrim("value") != "")
+    begins = lines.groupBy("file_path").agg(F.min_by(F.left(F.ltrim("value"), F.lit(1)), "record_rank").alias("first"))
+    if not begins.where(F.col("first") != "[").isEmpty():
         raise ValueError("an element file must hold a JSON array")
     return spark.read.schema(ELEMENT_SCHEMA).option("multiLine", True).json(names).withColumn("file_path", F.col("_metadata.file_path"))
 
 
-def read_sample_elements(spark: SparkSession, samples_dir: str) -> DataFrame:
-    """Element records of all samples under ``<samples_dir>/<sample>/is_extraction/is_elements.json``, first record of
-    each (sample, is_id)."""
-    rows = read_elements(spark, f"{samples_dir}/*/is_extraction/is_elements.json")
+def read_sample_elements(spark: SparkSession, samples_dir: str, samples: Sequence[str] | None = None) -> DataFrame:
+    """Element records of all samples, or only of the named ones, whose files alone are then read, under
+    ``<samples_dir>/<sample>/is_extraction/is_elements.json``; the first record of each (sample, is_id)."""
+    rows = read_elements(spark, [f"{samples_dir}/{name}/is_extraction/is_elements.json" for name in (["*"] if samples is None else samples)])
     folder = F.regexp_extract("file_path", r"([^/]+)/is_extraction/[^/]+$", 1)
     rows = rows.withColumns({"sample": folder, "place": F.monotonically_increasing_id()})
     others = [c for c in rows.columns if c not in ("sample", "is_id", "place")]
@@ -265,14 +265,14 @@ EXTENSIONS = {
 }
 
 
-def detect_format(path: str) -> str:
-    """'fasta', 'gff', 'bed' or 'unknown', by the extension, else by the first line."""
+def detect_format(spark: SparkSession, path: str) -> str:
+    """'fasta', 'gff', 'bed' or 'unknown', by the extension, else by the first line; a path that Spark can read."""
     suffix = os.path.splitext(path)[1].lower().lstrip(".")
     for kind, endings in EXTENSIONS.items():
         if suffix in endings:
             return kind
-    with open(path, encoding="utf-8", errors="replace") as file:
-        return format_of_line(file.readline())
+    line = spark.read.text(path).first()
+    return format_of_line(line["value"] if line else "")
 
 
 def format_of_line(line: str) -> str:
@@ -295,10 +295,16 @@ def read_hit_table(spark: SparkSession, path: str) -> DataFrame:
 def parse_files(spark: SparkSession, paths: Paths, kind: str) -> DataFrame:
     """Files of search ('m8') or feature ('gff') lines with what became of every line, as in ``raw_lines.parse_lines``.
 
-    Lines stay in the order of the file within each block that a task reads, so that ``resumed`` marks the line at
-    which reading went on after a broken quote.
+    Lines are numbered from 1 in their file, from the counts of its splits, so that reading recovers from broken quotes.
     """
     from seqloom.sources.raw_lines import parse_lines
 
-    lines = read_lines(spark, paths).select(F.struct("file_path", "record_rank").alias("place"), F.lit(kind).alias("kind"), "value")
-    return parse_lines(lines, "place", "kind", "value")
+    lines = read_lines(spark, paths)
+    split = ["file_path", F.col("record_rank.block").alias("block")]
+    sizes = lines.groupBy(*split).agg(F.min("record_rank.row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("file_path", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = lines.select(*split, "record_rank", "value").join(sizes, ["file_path", "block"])
+    number = (F.col("record_rank.row") - F.col("first") + F.col("before") + 1).cast("int")
+    rows = numbered.select("file_path", number.alias("no"), F.struct("file_path", "record_rank").alias("place"), F.lit(kind).alias("kind"), "value")
+    return parse_lines(rows, "place", "kind", "value", "file_path", "no")

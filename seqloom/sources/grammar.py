@@ -1,16 +1,16 @@
 """A recursive-descent grammar for lines of search and feature files that recovers from errors.
 
-``read_buffer`` reads a text of many lines. A record that breaks a rule gives a located error (line, column, reason);
-after a broken quote the rest of the line can't be trusted, so reading resumes at the next line start that passes
-the check of a record start (its leading fields have the right shape). Lines in between are read on their own too,
-so that every line comes out once: as a typed record, as an error, or as a comment or blank line (neither).
+A ``Reader`` is given the lines of a file in order. A record that breaks a rule gives a located error (line, column, reason).
+After a broken quote what follows can't be trusted, so the reader goes on at the next line start that is validated as an
+anchor: its leading fields are those of a record by the grammar. The lines before the anchor are spoiled: they aren't read as
+records but belong to the error, which is located at the quote. Every readable line is an anchor, so none is lost in this way.
 """
 
 from __future__ import annotations
 
 import re
 from decimal import Decimal
-from typing import Iterator, NamedTuple
+from typing import NamedTuple
 
 DIGITS = re.compile(r"[0-9]+\Z")
 DECIMAL = re.compile(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\Z")
@@ -27,13 +27,13 @@ class Malformed(Exception):
 
 
 class Line(NamedTuple):
-    """What became of one line: ``fields`` of a record, or ``reason`` and ``column`` of an error, or neither."""
+    """What became of one line: ``fields`` of a record, or ``reason`` and place of an error, or neither."""
 
-    number: int
-    fields: tuple | None
-    reason: str | None
-    column: int | None
-    resumed: bool
+    fields: tuple | None = None
+    reason: str | None = None
+    line: int | None = None
+    column: int | None = None
+    resumed: bool = False
 
 
 class Cursor:
@@ -194,17 +194,30 @@ RECORDS = {"m8": search_record, "gff": feature_record}
 
 
 def starts_record(line: str, kind: str) -> bool:
-    """Whether a line begins as a record does: an anchor at which reading may resume."""
-    head = line.split("\t", 5)
-    if kind == "m8":
-        return len(head) > 3 and bool(head[0]) and not SPACE.search(head[0]) and bool(DECIMAL.match(head[2].strip('"')))
-    return len(head) > 4 and all(head[:3]) and bool(DIGITS.match(head[3]) and DIGITS.match(head[4]))
+    """Whether a line begins as a record does, by the grammar of its leading fields: an anchor at which reading may resume."""
+    cur = Cursor(line)
+    try:
+        lead = []
+        for _ in range({"m8": 3, "gff": 5}[kind]):
+            lead.append(_field(cur, quoting=kind == "m8"))
+            if cur.ended():
+                return False
+            cur.at += 1  # the tab
+        if kind == "m8":
+            return not SPACE.search(_filled(lead[0])) and bool(_filled(lead[1])) and _decimal(lead[2], at_least_zero=True) >= 0
+        return all(_filled(x) for x in lead[:3]) and all(_whole(x) >= 0 for x in lead[3:])
+    except (Malformed, KeyError):
+        return False
+
+
+def stripped(line: str) -> str:
+    """The line without a carriage return that belongs to its end."""
+    return line[:-1] if line.endswith("\r") else line
 
 
 def read_line(line: str, kind: str) -> tuple | None:
     """One line's typed fields; None for a comment or blank line; raises Malformed."""
-    if line.endswith("\r"):
-        line = line[:-1]
+    line = stripped(line)
     if line.startswith("#") or not line.strip():
         return None
     if kind not in RECORDS:
@@ -212,18 +225,34 @@ def read_line(line: str, kind: str) -> tuple | None:
     return RECORDS[kind](line)
 
 
-def read_buffer(text: str, kind: str) -> Iterator[Line]:
-    """Every line of a buffer, in order. ``resumed`` marks the anchor at which reading went on after a broken quote."""
-    number, at, lost = 0, 0, False
-    while at <= len(text):
-        stop = text.find("\n", at)
-        stop = len(text) if stop < 0 else stop
-        line = text[at:stop]
-        resumed = lost and starts_record(line, kind)
-        lost = lost and not resumed
+class Reader:
+    """Reads lines of one file in order. A broken quote spoils lines up to the next anchor, ``reach`` lines at most."""
+
+    def __init__(self, reach: int):
+        self.reach = reach
+        self.broken: tuple[int, int] | None = None  # line and column of the last broken quote since an anchor
+
+    def read(self, number: int, line: str, kind: str) -> Line:
+        resumed = False
+        if self.broken is not None:
+            spoiled = number - self.broken[0] <= self.reach
+            resumed = starts_record(stripped(line), kind)
+            if spoiled and not resumed:
+                return self._spoiled(number, line, kind)
+            self.broken = None
+        try:
+            return Line(read_line(line, kind), resumed=resumed)
+        except Malformed as error:
+            if error.quote:
+                self.broken = (number, error.column)
+            return Line(None, error.reason, number, error.column, resumed)
+
+    def _spoiled(self, number: int, line: str, kind: str) -> Line:
+        at = self.broken
         try:
-            yield Line(number, read_line(line, kind), None, None, resumed)
+            if read_line(line, kind) is None:
+                return Line()
         except Malformed as error:
-            lost = lost or error.quote
-            yield Line(number, None, error.reason, error.column, resumed)
-        number, at = number + 1, stop + 1
+            if error.quote:  # a further one, from which the reach counts anew
+                self.broken = (number, error.column)
+        return Line(None, "after_broken_quote", *at)

@@ -159,10 +159,10 @@ def test_element_files(spark, tmp_path):
 
 def test_formats(tmp_path, spark):
     for name, kind in (("x.fa", "fasta"), ("x.GFF3", "gff"), ("x.bed", "bed"), ("x.gtf", "gff")):
-        assert S.detect_format(name) == kind
+        assert S.detect_format(spark, name) == kind
     for text, kind in ((">a\n", "fasta"), ("##gff-version\n", "gff"), ("a\tb\n", "gff"), ("a b\n", "unknown"), ("", "unknown")):
         (tmp_path / "x.txt").write_text(text)
-        assert S.detect_format(str(tmp_path / "x.txt")) == kind
+        assert S.detect_format(spark, str(tmp_path / "x.txt")) == kind
     (tmp_path / "g/sub").mkdir(parents=True)
     for name in ("b.fasta", "sub/z.fna", "a.fna", "c.fa", "d.txt"):
         (tmp_path / "g" / name).write_text(">a\nA\n")

@@ -1,8 +1,10 @@
 """Lines of search and feature files: what is readable, where the error is, and how reading resumes."""
 
+import random
+
 import pytest
 
-from seqloom.sources.grammar import Malformed, read_buffer, read_line
+from seqloom.sources.grammar import Malformed, Reader, read_line
 from seqloom.sources.raw_lines import parse_lines
 
 M8 = ["q_1", "s one", "98.5", "100", "1", "0", "1", "100", "5", "104", "1e-30", "200.5"]
@@ -65,12 +67,41 @@ def test_attributes_keep_order_and_repeats():
     assert read_line(line(GFF, f9='a=1; b "2;3";a=4'), "gff")[8] == [("a", "1"), ("b", "2;3"), ("a", "4")]
 
 
-def test_buffer_resumes_at_an_anchor_after_a_broken_quote():
-    text = "\n".join([line(M8), line(M8, f2='"open'), 'tail of it"\tx', "", line(M8), line(M8)])
-    lines = list(read_buffer(text, "m8"))
-    assert [x.reason for x in lines] == [None, "quote_not_closed", "too_few_fields", None, None, None]
-    assert [x.resumed for x in lines] == [False, False, False, False, True, False]
-    assert [x.fields is not None for x in lines] == [True, False, False, False, True, True]
+def test_reading_resumes_at_an_anchor_after_a_broken_quote():
+    reader = Reader(4)
+    tabbed = line(M8, f2='"a\tb"')  # readable, so an anchor
+    texts = [line(M8), line(M8, f2='"open'), 'tail of it"\tx', "# note", "", tabbed, line(M8), line(M8, f2='"open')] + ["x"] * 6 + [line(M8)]
+    lines = [reader.read(n, text, "m8") for n, text in enumerate(texts, 1)]
+    spoiled = "after_broken_quote"
+    assert [x.reason for x in lines] == [None, "quote_not_closed", spoiled, None, None, None, None, "quote_not_closed", *[spoiled] * 4, *["too_few_fields"] * 2, None]
+    assert [x.line for x in lines if x.reason] == [2, 2, 8, 8, 8, 8, 8, 13, 14]
+    assert [n for n, x in enumerate(lines, 1) if x.resumed] == [6]
+    assert [n for n, x in enumerate(lines, 1) if x.fields] == [1, 6, 7, 15]
+
+
+def test_recovery_is_the_same_for_any_partitioning(spark):
+    """Files of records, broken quotes, tails, comments and junk; blocks of 100 lines and one of all."""
+    draw = random.Random(2)
+    kinds = [line(M8), line(M8, f2='"open'), 'tail" of\tit', "# note", "", "junk", line(M8, f3="x"), line(M8, f12='"5"x')]
+    rows = [(f * 1000 + n, f"f{f}", n, draw.choices(kinds, [6, 1, 2, 1, 1, 2, 1, 1])[0], "m8") for f in range(3) for n in range(1, 400)]
+    rows += [(9001, None, 5, line(M8, f2='"open'), "m8"), (9002, None, 6, "junk", "m8"), (9003, "f1", None, "junk", "m8")]
+    df = spark.createDataFrame(rows, "raw_id bigint, name string, n int, text string, kind string")
+    expected = {}
+    for f in range(3):
+        reader = Reader(64)
+        for i, name, n, text, kind in rows:
+            if name == f"f{f}" and n is not None:
+                x = reader.read(n, text, kind)
+                expected[i] = (x.reason, x.line, x.column, x.resumed)
+    for parts, block in ((1, 100), (2, 8_192), (7, 130)):
+        out = parse_lines(df.repartition(parts), "raw_id", "kind", "text", "name", "n", block).collect()
+        found = {r.line_id: (r.reason, r.error_line, r.error_column, r.resumed) for r in out}
+        assert len(out) == len(rows) and {i: found[i] for i in expected} == expected
+        assert found[9002][0] == found[9003][0] == "too_few_fields"
+    assert {"after_broken_quote", "quote_not_closed", "text_after_quote"} <= {x[0] for x in expected.values()}
+    # What is spoiled is unreadable by itself, too.
+    alone = {r.line_id for r in parse_lines(df, "raw_id", "kind", "text").collect() if r.outcome == "error"}
+    assert alone == {i for i, x in found.items() if x[0]}
 
 
 def test_parse_lines(spark):

@@ -46,7 +46,7 @@ def test_tables(spark):
         ("r1", (0, 0), "en-us", "us"), ("r1", (0, 1), "en", None), ("r1", (2, 0), "en-gb", "gb"), ("r5", (1, 1), "c", "d"),
     }
     assert tables["rec.links.forward"] == {("r1", (0,), 20), ("r1", (1,), 40), ("r1", (2,), 60), ("r2", (0,), 80), ("r5", (1,), 7)}
-    assert "rec.links" not in tables  # has no leaf of its own
+    assert tables["rec.links"] == {("r1", (0,)), ("r2", (0,)), ("r5", (0,))}  # has no leaf of its own
 
 
 def test_child_places(spark):
@@ -68,3 +68,15 @@ def test_latest_version(spark):
     found = latest_version(df, F.col("k"), F.col("v"), F.col("x")).collect()
     assert {(r.key, r.payload) for r in found} == {("a", "new"), ("b", "undated")}
     assert latest_version(df.limit(0), F.col("k"), F.col("v"), F.col("x")).count() == 0
+
+
+def test_object_without_a_leaf_of_its_own(spark):
+    """``outer`` holds only an array and an object; nothing of it is lost."""
+    schema = "k int, outer struct<items: array<struct<parts: array<struct<v: int>>, note: struct<t: string>>>>"
+    rows = [(1, {"items": [{"parts": [{"v": 1}, {"v": 2}], "note": None}, None, {"parts": [], "note": {"t": "x"}}]}), (2, {"items": None}), (3, None)]
+    df = spark.createDataFrame(rows, schema)
+    tables = X.shred_tables(df, "k")
+    assert sorted((r.record_key, r.child_no) for r in tables["outer"].collect()) == [(1, 0), (2, 0)]
+    assert sorted((r.record_key, r.child_no) for r in tables["outer.items"].collect()) == [(1, 0), (1, 2)]
+    assert sorted((r.record_key, tuple(r.places), r.v) for r in tables["outer.items.parts"].collect()) == [(1, (0, 0), 1), (1, (0, 1), 2)]
+    assert [(r.record_key, r.child_no, r.t) for r in tables["outer.items.note"].collect()] == [(1, 2, "x")]
