@@ -128,6 +128,13 @@ def valid_dna(seq: Column | str) -> Column:
     return F.when(s.isNull() | s.rlike("^[ATCGN]*$"), s).otherwise(F.raise_error("sequence holds letters other than A, T, C, G, N"))
 
 
+def length_warning(seq: Column | str, low: int = 50, high: int = 200) -> Column:
+    """A warning for a query sequence whose length, without surrounding white space, is outside the recommended range; else null."""
+    n = F.length(F.btrim(_c(seq)))
+    text = F.concat(F.lit("Sequence length ("), n.cast("string"), F.lit(f"bp) is outside recommended range ({low}-{high}bp)"))
+    return F.when(~n.between(low, high), text)
+
+
 def contig_of(protein_id: Column | str, when_numeric: bool = False) -> Column:
     """The id without its last ``_part``; with ``when_numeric`` only if that part is all digits. Else the whole id."""
     return F.regexp_replace(_c(protein_id), "_[0-9]+$" if when_numeric else "_[^_]*$", "")

@@ -23,15 +23,41 @@ def groups_having(df: DataFrame, by: Sequence[str], value: str, mean_above: floa
     return stats.where((F.col("mean") > mean_above) & (F.col("n") >= at_least))
 
 
+#: Quantiles of a description, and the accuracy of their first, approximate search: a rank is found to rows / ACCURACY.
+QUANTILES, ACCURACY = (0.25, 0.5, 0.75), 10_000
+
+
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column ``n, n_null, n_distinct, mean, std, min, q25, median, q75, max``; quantiles are exact, with linear interpolation."""
+    """Per column ``n, n_null, n_distinct, mean, std, min, q25, median, q75, max``; quantiles are exact, with linear interpolation.
+
+    NaN counts as a value above every number. Values are counted before they are ordered, and only those near an approximate
+    quantile are ordered at all, so no task holds a column. A column without values has counts of 0 and nulls.
+    """
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    made = rows.groupBy("column").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.countDistinct("x").alias("n_distinct"),
-        F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"),
+    margin = 1.5 / ACCURACY
+    ranks = [min(max(q + d, 0.0), 1.0) for q in QUANTILES for d in (-margin, margin)]
+    stats = rows.groupBy("column").agg(
+        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"), F.percentile_approx("x", ranks, ACCURACY).alias("near"),
     )
-    return made.select("column", "n", "n_null", "n_distinct", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"), "max")
+    counted = rows.where(F.col("x").isNotNull()).groupBy("column", "x").agg(F.count("*").alias("k"))
+    # As many rows as columns are described.
+    brackets = F.broadcast(stats.select("column", "n", "near"))
+    limits = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("near")[2 * i].alias("low"), F.col("near")[2 * i + 1].alias("high"), ((F.col("n") - 1) * q).alias("rank")) for i, q in enumerate(QUANTILES)]))
+    placed = counted.join(brackets, "column").select("column", "x", "k", limits.alias("b")).select("column", "x", "k", "b.*")
+    below = placed.where(F.col("x") < F.col("low")).groupBy("column", "i").agg(F.sum("k").alias("below"))
+    inside = placed.where(F.col("x").between(F.col("low"), F.col("high"))).join(F.broadcast(below), ["column", "i"], "left")
+    upto = F.coalesce("below", F.lit(0)) + F.sum("k").over(Window.partitionBy("column", "i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("upto", upto)
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    found = inside.groupBy("column", "i").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.first("rank").alias("rank"))
+    share = F.col("rank") - F.floor("rank")
+    value = F.when(share == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * share)
+    names = ("q25", "median", "q75")
+    quantiles = found.groupBy("column").agg(*[F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(names)])
+    distinct = counted.groupBy("column").agg(F.count("*").alias("n_distinct"))
+    made = stats.join(F.broadcast(distinct), "column", "left").join(F.broadcast(quantiles), "column", "left")
+    return made.select("column", "n", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "mean", "std", "min", *names, "max")
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

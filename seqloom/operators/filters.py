@@ -55,10 +55,13 @@ class Pipeline:
 
 @dataclass(frozen=True)
 class Verdict:
+    """``reason`` says why a row fails, ``doubt`` why it passes with low confidence, if it does."""
+
     passed: Column
     reason: Column
     metrics: dict[str, Column]
     confidence: Column | None = None
+    doubt: Column | None = None
 
 
 # Columns of an alignment that filters read; those that a table lacks are null.
@@ -70,7 +73,7 @@ INPUTS = {
 METRICS = {
     "at_content": "double", "gc_content": "double", "entropy": "double", "longest_homopolymer": "int", "dinucleotide_ratio": "double",
     "length": "int", "distance_to_start": "bigint", "distance_to_end": "bigint", "e_value": "double", "p_value": "double",
-    "search_space": "bigint", "is_gapped": "boolean", "raw_score": "bigint", "gap_opens": "int",
+    "search_space": "bigint", "is_gapped": "boolean", "raw_score": "bigint", "gap_opens": "int", "confidence": "string",
 }
 
 
@@ -111,7 +114,8 @@ def _length_confidence(c, low_confidence_min=9, high_confidence_min=14) -> Verdi
     n = F.length(c["aligned_sequence"])
     grade = F.when(n < low_confidence_min, "rejected").when(n < high_confidence_min, "low").otherwise("high")
     text = F.format_string(f"LENGTH_REJECTED: %dbp < {low_confidence_min}bp", n)
-    return Verdict(n >= low_confidence_min, text, {"length": n}, grade)
+    doubt = F.when(grade == "low", F.format_string(f"LOW_CONFIDENCE_LENGTH: %dbp in doubt zone [{low_confidence_min}, {high_confidence_min})", n))
+    return Verdict(n >= low_confidence_min, text, {"length": n, "confidence": grade}, grade, doubt)
 
 
 def _boundary_artifact(c, boundary_distance=10) -> Verdict:
@@ -144,13 +148,20 @@ def _statistical_significance(
         "e_value": e, "p_value": X.evalue_to_pvalue(e), "search_space": space, "is_gapped": gapped,
         "raw_score": F.when(gapped, score).cast("bigint"), "gap_opens": F.when(gapped, opens),
     }
-    return Verdict(e <= e_value_reject, text, metrics, F.when(e <= e_value_high, "high").otherwise("low"))
+    doubt = F.when(
+        (e > e_value_low) & (e <= e_value_reject),
+        F.concat(F.lit("LOW_CONFIDENCE_EVALUE: E="), _scientific(e), F.lit(f" in ({e_value_low:.2e}, {e_value_reject:.2e}]")),
+    )
+    grade = F.when(e <= e_value_high, "high").otherwise("low")
+    metrics["confidence"] = F.when(e > e_value_reject, "rejected").otherwise(grade)
+    return Verdict(e <= e_value_reject, text, metrics, grade, doubt)
 
 
 def _scientific(x: Column) -> Column:
     return F.when(x == X.INFINITY, "inf").otherwise(F.format_string("%.2e", x))
 
 
+DETAILS = "map<string, struct<passed: boolean, reason: string, metrics: map<string, string>>>"
 #: Name to filter; each takes the columns of an alignment and its parameters.
 FILTERS: dict[str, Callable[..., Verdict]] = {
     "at_content": _at_content,
@@ -206,8 +217,9 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
     """``df`` with the column ``verdict``.
 
     ``verdict`` has ``pass`` (all enabled filters passed; also if none is enabled), ``confidence``, the arrays
-    ``filter_reasons``, ``failed_filters`` and ``passed_filters``, and ``metrics`` (a metric that no enabled filter
-    gives is null; ``sequence`` and ``length`` always are there). A filter that can't decide, as on a null sequence,
+    ``filter_reasons``, ``failed_filters`` and ``passed_filters``, ``metrics`` (a metric that no enabled filter
+    gives is null; ``sequence`` and ``length`` always are there) and ``filter_details``: per name of a filter, the last of a
+    name, ``passed``, ``reason`` ('' where it passes without doubt) and its ``metrics`` as text. A filter that can't decide, as on a null sequence,
     is in neither array and doesn't fail the row. confidence is 'high' unless a filter that grades it passes with
     another grade; the last one decides. Input columns that ``df`` lacks count as null; a column named ``verdict``
     is replaced, all others stay.
@@ -216,6 +228,7 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
     c = {name: (F.col(name) if name in have else F.lit(None)).cast(kind) for name, kind in INPUTS.items()}
     metrics: dict[str, Column] = {}
     confidence, failed, passed, reasons = F.lit("high"), [], [], []
+    details: dict[str, Column] = {}
     for f in pipeline.running():
         v = FILTERS[f.name](c, **f.params)
         metrics |= v.metrics
@@ -223,6 +236,9 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
         failed.append(F.when(~v.passed, F.lit(f.name)))
         passed.append(F.when(v.passed, F.lit(f.name)))
         reasons.append(F.when(~v.passed, v.reason))
+        why = F.when(~v.passed, v.reason).otherwise(F.coalesce(v.doubt if v.doubt is not None else F.lit(""), F.lit("")))
+        own = F.create_map(*[x for m, c_ in v.metrics.items() for x in (F.lit(m), c_.cast("string"))])
+        details[f.name] = F.struct(v.passed.alias("passed"), F.when(v.passed.isNotNull(), why).alias("reason"), own.alias("metrics"))
         if v.confidence is not None:
             confidence = F.when(ok, v.confidence).otherwise(confidence)
     metrics["length"] = F.length(c["aligned_sequence"])
@@ -236,6 +252,7 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
         F.struct(
             c["aligned_sequence"].alias("sequence"), *[metrics.get(m, F.lit(None)).cast(kind).alias(m) for m, kind in METRICS.items()]
         ).alias("metrics"),
+        (F.create_map(*[x for name, d in details.items() for x in (F.lit(name), d)]) if details else F.create_map().cast(DETAILS)).alias("filter_details"),
     )
     return df.withColumn("verdict", made)
 

@@ -83,3 +83,8 @@ def with_target_sequence(hits: DataFrame, records: DataFrame, order: Column, con
     targets = matched.groupBy("target_id").agg(F.max_by("sequence", "the order").alias("whole"))
     part = slice_region("whole", F.col("target_start") - context, F.col("target_end") + context, F.lit(1))
     return hits.drop("sequence").join(targets, "target_id", "left").withColumn("sequence", part).drop("whole")
+
+
+def retrieval_counts(hits: DataFrame, sequence: str) -> DataFrame:
+    """One row: ``n_hits``, and ``n_found``, those whose sequence was found."""
+    return hits.agg(F.count("*").alias("n_hits"), F.count(sequence).alias("n_found"))

@@ -12,7 +12,7 @@ from seqloom.operators.alignments import Finder, find_between, find_within
 from seqloom.operators.analytics import describe, with_alignment_columns
 from seqloom.operators.elements import element_alignments, element_pairs, filter_inputs, newest_elements, process_elements
 from seqloom.operators.gapped import extend_with_gaps
-from seqloom.operators.locate import with_genomic_sequence, with_target_sequence
+from seqloom.operators.locate import retrieval_counts, with_genomic_sequence, with_target_sequence
 from seqloom.operators.regions import extract_regions
 from seqloom.operators.search import deduplicate_hits, search_words
 from seqloom.operators.segments import search_segments
@@ -81,6 +81,17 @@ def hit_sequences_last(spark: SparkSession, sf: str) -> DataFrame:
     return with_target_sequence(hits, records, F.col("id"), context=10).select("is_id", "target_id", "sequence")
 
 
+def retrieved_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the hits of both ways of retrieval, how many got a sequence."""
+    first = retrieval_counts(hit_sequences_first(spark, sf), "genomic_sequence").withColumn("way", F.lit("first"))
+    return first.unionByName(retrieval_counts(hit_sequences_last(spark, sf), "sequence").withColumn("way", F.lit("last")))
+
+
+def length_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    warned = _regions(spark, sf).select("is_id", "region_no", S.length_warning("seq").alias("warning"))
+    return warned.where("warning is not null")
+
+
 def flank_region_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return element_pairs(_elements(spark, sf)).drop("pair_id")
 
@@ -137,6 +148,17 @@ def guide_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def filter_details(spark: SparkSession, sf: str) -> DataFrame:
+    """What every filter says of every alignment: passed, and the kind of its reason, also of those passed with low confidence."""
+    pipeline = P.default_pipeline().add("length_confidence", P.Level.LENGTH)
+    rows = _judged(spark, sf, pipeline).select(
+        "is_id", "flanking_source", "region_index", "pos1", "pos2", "orientation", F.explode("verdict.filter_details").alias("filter", "d")
+    )
+    return rows.select(
+        *rows.columns[:-1], "d.passed", F.substring_index("d.reason", ":", 1).alias("reason"), F.col("d.metrics")["confidence"].alias("confidence")
+    )
+
+
 def _summary(make):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         return P.summarise(_judged(spark, sf, make()), make())
@@ -213,7 +235,7 @@ def diagram_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = _elements(spark, sf)
     found = deduplicated_alignments(element_alignments(rows), F.col("region_index"), F.col("pos1"))
     made = element_features(rows, found, by_length_field=True)
-    return made.where("feature_type <> 'misc_binding'").select("is_id", "feature_type", "feature_start", "feature_end", "strand", "label")
+    return made.select("is_id", "feature_type", "feature_start", "feature_end", "strand", "label")
 
 
 QUERIES = {
@@ -224,6 +246,9 @@ QUERIES = {
     "orf_regions": orf_regions,
     "hit_sequences_first": hit_sequences_first,
     "hit_sequences_last": hit_sequences_last,
+    "retrieved_sequences": retrieved_sequences,
+    "length_warnings": length_warnings,
+    "filter_details": filter_details,
     "flank_region_pairs": flank_region_pairs,
     "guide_alignments": guide_alignments,
     "guide_alignments_mismatched": guide_alignments_mismatched,
@@ -329,14 +354,19 @@ rec AS (SELECT is_id AS id, coalesce(is_element.sequence, '') AS sequence FROM c
 ORACLES = {
     "guide_candidates_by_element": _DEFAULT
     + "SELECT is_id, count(*) AS n_candidates, string_agg(n::VARCHAR, ',' ORDER BY flanking_source, region_index, pos1, pos2, n, orientation) AS lengths FROM j WHERE pass GROUP BY is_id",
-    "diagram_features": _CUR
+    "diagram_features": _ALIGNED
     + """, z AS (SELECT *, coalesce(flanking_upstream.length, 0) AS up, coalesce(is_element.length, 0) AS own, coalesce(flanking_downstream.length, 0) AS down FROM cur),
-o AS (SELECT is_id, up, unnest(orf_annotation.orfs) AS x FROM z), r AS (SELECT is_id, up, unnest(orf_annotation.noncoding_regions) AS x FROM z)
+o AS (SELECT is_id, up, unnest(orf_annotation.orfs) AS x FROM z), r AS (SELECT is_id, up, unnest(orf_annotation.noncoding_regions) AS x FROM z),
+d AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY is_id, flanking_source, ncs, pos2, n, orientation ORDER BY region_index, pos1) = 1),
+b AS (SELECT d.*, up, own, down, 'aln_' || flanking_source || '_' || n || 'bp_' AS lab FROM d JOIN z USING (is_id))
 SELECT is_id, 'misc_feature' AS feature_type, 0::BIGINT AS feature_start, up::BIGINT AS feature_end, 0 AS strand, 'upstream_flanking' AS label FROM z WHERE up > 0
 UNION ALL SELECT is_id, 'misc_feature', up + own, up + own + down, 0, 'downstream_flanking' FROM z WHERE down > 0
 UNION ALL SELECT is_id, 'misc_feature', up, up + own, 0, is_id FROM z
 UNION ALL SELECT is_id, 'CDS', up + x.start - 1, up + x."end", CASE WHEN coalesce(x.strand, '+') = '+' THEN 1 ELSE -1 END, coalesce(x.orf_id, '') FROM o WHERE x IS NOT NULL
-UNION ALL SELECT is_id, 'misc_feature', up + x.start - 1, up + x."end", 0, coalesce(x.type, 'noncoding') FROM r WHERE x IS NOT NULL""",
+UNION ALL SELECT is_id, 'misc_feature', up + x.start - 1, up + x."end", 0, coalesce(x.type, 'noncoding') FROM r WHERE x IS NOT NULL
+UNION ALL SELECT is_id, 'misc_binding', up + ncs - 1 + pos2, up + ncs - 1 + pos2 + n, 0, lab || 'nc' FROM b
+UNION ALL SELECT is_id, 'misc_binding', CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1, CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1 + n, 0, lab || 'flank' FROM b
+  WHERE CASE flanking_source WHEN 'upstream' THEN up ELSE down END > 0""",
     "sequence_metrics": _REGIONS
     + f"""SELECT is_id, region_no, {_RC.format('seq')} AS turned, round({_at('u')}, 6) AS at, round({_at('u', 'GC')}, 6) AS gc, round({_entropy('u')}, 6) AS entropy, {_run('u')} AS run,
   regexp_matches(u, 'A{{5}}|T{{5}}|G{{5}}|C{{5}}') AS has_run, round({_dinucleotide('u')}, 6) AS dinucleotide, length(u) >= 6 AND {_dinucleotide('u')} >= 0.2 AS has_repeat FROM reg""",
@@ -367,6 +397,10 @@ SELECT is_id, contig_id, genomic_sequence FROM probes LEFT JOIN b USING (is_id)"
     "hit_sequences_last": _PROBES
     + """, b AS (SELECT contig_id, arg_max(sequence, id) AS whole FROM (SELECT DISTINCT contig_id FROM probes) JOIN rec ON starts_with(id, contig_id) GROUP BY contig_id)
 SELECT is_id, contig_id AS target_id, substr(whole, greatest(s - 10, 1)::INT, greatest(least(length(whole), e + 10) - greatest(s - 10, 1) + 1, 0)::INT) AS sequence FROM probes LEFT JOIN b USING (contig_id)""",
+    "retrieved_sequences": _PROBES
+    + f""", m AS (SELECT p.is_id, substr(sequence, s::INT, greatest(least(length(sequence), e) - s + 1, 0)::INT) AS part FROM probes p JOIN rec ON starts_with(id, contig_id)),
+t AS (SELECT count(*) AS n_hits, count(*) FILTER (contig_id IN (SELECT contig_id FROM probes JOIN rec ON starts_with(id, contig_id))) AS n_last FROM probes)
+SELECT 'first' AS way, n_hits, (SELECT count(DISTINCT is_id) FROM m WHERE length(part) > 0) AS n_found FROM t UNION ALL SELECT 'last', n_hits, n_last FROM t""",
     "flank_region_pairs": _CUR
     + """, r0 AS (SELECT is_id, unnest(orf_annotation.noncoding_regions) AS r, (generate_subscripts(orf_annotation.noncoding_regions, 1) - 1)::INT AS region_index FROM cur),
 fl AS (SELECT is_id, sample, is_element.length AS is_length, 'upstream' AS flanking_source, flanking_upstream.sequence AS s1 FROM cur UNION ALL SELECT is_id, sample, is_element.length, 'downstream', flanking_downstream.sequence FROM cur)
@@ -377,6 +411,15 @@ SELECT is_id, sample, is_length, flanking_source, region_index, length(s1)::INT
     + """SELECT is_id, flanking_source, region_index, pos1, pos2, orientation, pass, confidence, concat_ws(',', CASE WHEN f1 THEN 'at_content' END, CASE WHEN f2 THEN 'entropy' END,
   CASE WHEN f3 THEN 'homopolymer' END, CASE WHEN f4 THEN 'dinucleotide' END, CASE WHEN f5 THEN 'statistical_significance' END, CASE WHEN f6 THEN 'boundary_artifact' END) AS failed_filters,
   round_even(atp, 2) AS at_content, round(log10(ev), 6) AS log_e, space::BIGINT AS search_space, ds AS distance_to_start, de AS distance_to_end FROM j""",
+    "filter_details": _DEFAULT
+    + """SELECT is_id, flanking_source, region_index, pos1, pos2, orientation, x.f AS filter, NOT x.bad AS passed, x.why AS reason, x.c AS confidence FROM (SELECT *, unnest([
+  {'f': 'at_content', 'bad': f1, 'why': CASE WHEN f1 THEN 'AT_CONTENT_TOO_HIGH' ELSE '' END, 'c': NULL}, {'f': 'entropy', 'bad': f2, 'why': CASE WHEN f2 THEN 'LOW_COMPLEXITY' ELSE '' END, 'c': NULL},
+  {'f': 'homopolymer', 'bad': f3, 'why': CASE WHEN f3 THEN 'HOMOPOLYMER_TOO_LONG' ELSE '' END, 'c': NULL}, {'f': 'dinucleotide', 'bad': f4, 'why': CASE WHEN f4 THEN 'DINUCLEOTIDE_REPEAT' ELSE '' END, 'c': NULL},
+  {'f': 'statistical_significance', 'bad': f5, 'why': CASE WHEN f5 THEN 'E_VALUE_TOO_HIGH' WHEN ev > 1e-3 THEN 'LOW_CONFIDENCE_EVALUE' ELSE '' END, 'c': CASE WHEN f5 THEN 'rejected' WHEN ev > 1e-6 THEN 'low' ELSE 'high' END},
+  {'f': 'boundary_artifact', 'bad': f6, 'why': CASE WHEN f6 THEN 'BOUNDARY_ARTIFACT' ELSE '' END, 'c': NULL},
+  {'f': 'length_confidence', 'bad': n < 9, 'why': CASE WHEN n < 9 THEN 'LENGTH_REJECTED' WHEN n < 14 THEN 'LOW_CONFIDENCE_LENGTH' ELSE '' END, 'c': CASE WHEN n < 9 THEN 'rejected' WHEN n < 14 THEN 'low' ELSE 'high' END}]) AS x FROM j)""",
+    "length_warnings": _REGIONS
+    + "SELECT is_id, region_no, 'Sequence length (' || length(trim(seq)) || 'bp) is outside recommended range (50-200bp)' AS warning FROM reg WHERE NOT length(trim(seq)) BETWEEN 50 AND 200",
     "filter_summary_default": _DEFAULT + f"SELECT {_COUNTS}, {_FAILS}, {_SIGNIFICANCE} FROM j",
     "filter_summary_strict": _judge(70.0, 1.8, 4, 1e-3, 1e-6, 1e-9) + f"SELECT {_COUNTS}, {_FAILS}, {_SIGNIFICANCE} FROM j",
     "filter_summary_relaxed": _judge(80.0, 1.2, 6, 0.05, 0.01, 1e-3) + f"SELECT {_COUNTS}, {_FAILS}, {_SIGNIFICANCE} FROM j",
