@@ -121,7 +121,8 @@ def alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alignment_description(spark: SparkSession, sf: str) -> DataFrame:
-    return describe(_banded(_elements(spark, sf)), ["length", "mismatches", "identity"])
+    found = describe(_banded(_elements(spark, sf)), ["length", "mismatches", "identity"])
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q25", "median", "q75", "max")})
 
 
 def guide_alignments_gapped(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,7 +212,8 @@ def annotated_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def diagram_arcs(spark: SparkSession, sf: str) -> DataFrame:
-    return arc_features(_features(spark, sf)[1])
+    arcs = arc_features(_features(spark, sf)[1])
+    return arcs.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("region_middles", "flank_middles")})
 
 
 def transposition_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -330,6 +332,40 @@ al AS (SELECT p.*, k.p1::INT AS pos1, k.p2::INT AS pos2, k.n::INT AS n, CASE k.o
 )
 
 
+def _found(keys: str, w: int, k: int, least: str = "") -> str:
+    """Alignments with up to k mismatches of the table ``pairs`` (keys, s1, s2), by comparing all words: ``al`` with p1, p2, n, m, o."""
+    turned = lambda at, n: _RC.format(f"substr(s2, ({at})::INT + 1, ({n})::INT)")
+    away = lambda i, j, n: f"CASE o WHEN 0 THEN hamming(substr(s1, ({i})::INT + 1, ({n})::INT), substr(s2, ({j})::INT + 1, ({n})::INT)) ELSE hamming(substr(s1, ({i})::INT + 1, ({n})::INT), {turned(j, n)}) END"
+    return f""", wi AS (SELECT *, unnest(range(length(s1) - {w - 1})) AS i FROM pairs WHERE length(s1) >= {w} AND length(s2) >= {w}),
+wj AS (SELECT *, unnest(range(length(s2) - {w - 1})) AS j FROM wi),
+wo AS (SELECT *, unnest([0, 1]) AS o FROM wj {f'WHERE j - i >= {least}' if least else ''}),
+sd AS (SELECT *, least(length(s1) - i, length(s2) - j) - {w} AS most FROM wo WHERE {away('i', 'j', w)} <= {k}),
+g1 AS (SELECT *, coalesce(list_min(list_filter(range(1, most + 1), lambda l: {away('i', 'j', f'{w} + l')} > {k})), most + 1) - 1 + {w} AS n1 FROM sd),
+g2 AS (SELECT *, coalesce(list_min(list_filter(range(1, least(i, j) + 1), lambda l: {away('i - l', 'j - l', 'n1 + l')} > {k})), least(i, j) + 1) - 1 AS g FROM g1),
+g3 AS (SELECT {keys}, s1, s2, o, i, j, i - g AS p1, j - g AS p2, n1 + g AS n FROM g2),
+g4 AS (SELECT *, {away('p1', 'p2', 'n')} AS m FROM g3),
+g5 AS (SELECT {keys}, o, p1, p2, n, m, min(i * 1000000 + j) AS seed FROM g4 GROUP BY ALL),
+gl AS (SELECT {keys}, list([{{'o': o, 'p1': p1, 'p2': p2, 'n': n, 'm': m}}] ORDER BY n DESC, m, seed // 1000000, o, seed) AS a FROM g5 GROUP BY ALL),
+gk AS (SELECT {keys}, unnest(list_reduce(a, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.o = x[1].o
+    AND y.p1 < x[1].p1 + x[1].n AND x[1].p1 < y.p1 + y.n AND y.p2 < x[1].p2 + x[1].n AND x[1].p2 < y.p2 + y.n)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS x FROM gl),
+al AS (SELECT {keys}, x.p1::INT AS pos1, x.p2::INT AS pos2, x.n::INT AS length, CASE x.o WHEN 0 THEN 'forward' ELSE 'reverse_complement' END AS orientation, x.m::INT AS mismatches FROM gk)
+"""
+
+
+_MISMATCHED = (
+    _REGIONS
+    + """, fl AS (SELECT is_id, 'upstream' AS flanking_source, upper(flanking_upstream.sequence) AS s1 FROM cur UNION ALL SELECT is_id, 'downstream', upper(flanking_downstream.sequence) FROM cur),
+pairs AS (SELECT fl.*, region_no AS region_index, coalesce(r.start, 0) AS ncs, upper(r.sequence) AS s2 FROM fl JOIN r0 USING (is_id) WHERE length(s1) > 0 AND length(r.sequence) > 0)"""
+    + _found("is_id, flanking_source, region_index, ncs", 14, 2)
+)
+_BANDED = (
+    _MISMATCHED
+    + """, bands AS (SELECT *, 1 - mismatches / length AS identity, mismatches = 0 AND length >= 12 AS is_exact, length BETWEEN 9 AND 15 AND mismatches <= 1 AS is_short FROM al
+  QUALIFY row_number() OVER (PARTITION BY is_id, flanking_source, ncs, pos2, length, orientation ORDER BY region_index, pos1) = 1)
+"""
+)
+
+
 def _judge(at: float, entropy: float, run: int, reject: float, low: float, high: float) -> str:
     """Verdicts of the significance pipelines over ``al``."""
     return _ALIGNED + f""", met AS (SELECT *, {_at('seq1')} AS atp, {_entropy('seq1')} AS ent, {_run('seq1')} AS run, {_dinucleotide('seq1')} AS di,
@@ -407,6 +443,19 @@ fl AS (SELECT is_id, sample, is_element.length AS is_length, 'upstream' AS flank
 SELECT is_id, sample, is_length, flanking_source, region_index, length(s1)::INT AS flanking_length, coalesce(r.type, '') AS region_type, coalesce(r.start, 0) AS noncoding_start, coalesce(r."end", 0) AS noncoding_end,
   coalesce(r.length, length(r.sequence))::INT AS noncoding_length, s1, r.sequence AS s2 FROM fl JOIN r0 USING (is_id) WHERE length(s1) > 0 AND length(r.sequence) > 0""",
     "guide_alignments": _ALIGNED + "SELECT is_id, flanking_source, region_index, pos1, pos2, n AS length, orientation, 0 AS mismatches, seq1, seq2 FROM al",
+    "guide_alignments_mismatched": _MISMATCHED + "SELECT is_id, flanking_source, region_index, pos1, pos2, length, orientation, mismatches FROM al",
+    "alignment_counts": _BANDED
+    + """SELECT is_id, count(b.length) AS n, count(*) FILTER (is_exact) AS n_exact, count(*) FILTER (is_short) AS n_short, round(avg(identity), 6) AS identity FROM cur LEFT JOIN bands b USING (is_id) GROUP BY is_id""",
+    "alignment_description": _BANDED
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, "
+        f"round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, round(max({c})::DOUBLE, 6) AS max FROM bands"
+        for c in ("length", "mismatches", "identity")
+    ),
+    "flank_repeats": _CUR
+    + ", pairs AS (SELECT is_id, upper(flanking_upstream.sequence) AS s1, upper(flanking_upstream.sequence) AS s2 FROM cur)"
+    + _found("is_id", 9, 0, "9")
+    + "SELECT is_id, pos1, pos2, length, orientation, pos2 - pos1 AS distance FROM al",
     "guide_verdicts": _DEFAULT
     + """SELECT is_id, flanking_source, region_index, pos1, pos2, orientation, pass, confidence, concat_ws(',', CASE WHEN f1 THEN 'at_content' END, CASE WHEN f2 THEN 'entropy' END,
   CASE WHEN f3 THEN 'homopolymer' END, CASE WHEN f4 THEN 'dinucleotide' END, CASE WHEN f5 THEN 'statistical_significance' END, CASE WHEN f6 THEN 'boundary_artifact' END) AS failed_filters,
@@ -462,3 +511,14 @@ z AS (SELECT *, len(list_filter(range(1, n + 1), lambda p: substr(q, (b + p)::IN
 SELECT query_id, target_id, strand, (b + 1)::INT AS query_start, (b + n)::INT AS query_end, (b + shift + 1)::INT AS target_start, (b + shift + n)::INT AS target_end, m::INT AS matches, round(m / n, 6) AS identity, round(n / length(q), 6) AS coverage
 FROM z WHERE m / n >= 0.8 AND n / length(q) >= 0.15""",
 }
+ORACLES["diagram_arcs"] = f"""WITH f AS ({ORACLES['annotated_features']}), a AS (SELECT is_id, regexp_replace(label, '_(nc|flank)$', '') AS pair, regexp_extract(label, '_(nc|flank)$', 1) AS side, (feature_start + feature_end) / 2 AS middle, note
+  FROM f WHERE feature_type = 'misc_binding')
+SELECT is_id, pair, note, coalesce(string_agg(middle::VARCHAR, ',' ORDER BY middle) FILTER (side = 'nc'), '') AS region_middles, coalesce(string_agg(middle::VARCHAR, ',' ORDER BY middle) FILTER (side = 'flank'), '') AS flank_middles FROM a GROUP BY ALL"""
+ORACLES["annotated_records"] = f"""WITH f AS ({ORACLES['annotated_features']}), l AS (SELECT *, '     ' || rpad(feature_type, 16, ' ')
+    || CASE WHEN strand = -1 THEN 'complement(' || (feature_start + 1) || '..' || feature_end || ')' ELSE (feature_start + 1) || '..' || feature_end END || chr(10) || '                     /label="' || label || '"' AS line FROM f),
+t AS (SELECT is_id, string_agg(line, chr(10) ORDER BY feature_start, feature_end, feature_type, label, line) AS tab FROM l GROUP BY is_id),
+w AS (SELECT nullif(trim(is_id, ' ' || chr(9)), '') AS is_id, lower(concat_ws('', flanking_upstream.sequence, is_element.sequence, flanking_downstream.sequence)) AS whole FROM is_elements
+  WHERE nullif(trim(is_id, ' ' || chr(9)), '') IS NOT NULL QUALIFY row_number() OVER (PARTITION BY nullif(trim(is_id, ' ' || chr(9)), '') ORDER BY loaded_at DESC) = 1)
+SELECT is_id, 'LOCUS       ' || rpad(is_id, 16, ' ') || ' ' || length(whole) || ' bp    DNA     linear   UNK' || chr(10) || 'DEFINITION  ' || is_id || chr(10) || 'FEATURES             Location/Qualifiers' || chr(10) || tab || chr(10) || 'ORIGIN'
+  || chr(10) || list_aggregate(list_transform(range(greatest((length(whole) - 1) // 60, 0) + 1), lambda i: lpad((i * 60 + 1)::VARCHAR, 9, ' ') || ' ' || trim(regexp_replace(substr(whole, (i * 60 + 1)::INT, 60), '(.{{10}})', '\\1 ', 'g'))), 'string_agg', chr(10))
+  || chr(10) || '//' AS value FROM w JOIN t USING (is_id)"""
