@@ -370,7 +370,7 @@ def split_texts(
                 held = Held(memoryview(data.as_buffer()))
                 for no in range(-(-held.size // range_bytes)):
                     low, begin, end, high, splits = _extent(held, no, range_bytes, tok, limit, overlap)
-                    # The limits stand before the bytes, so that tabulating and cutting need the same columns and share the shuffle.
+                    # The limits stand before the bytes: all that is known of a range is one value.
                     head = np.array([3 + len(splits), begin - low, end - low, *(x - low for x in splits)], np.int32).tobytes()
                     yield _batch(_SLICE, [[doc], [mark], [no], [head + held.get(low, high)]])
 
