@@ -42,10 +42,10 @@ def element_pairs(elements: DataFrame) -> DataFrame:
     )
 
 
-def element_alignments(elements: DataFrame, finder: Finder = ELEMENT_FINDER, gaps: bool = False) -> DataFrame:
-    """Alignments of all pairs of all elements, with their provenance; with ``gaps`` also their gapped extension."""
+def element_alignments(elements: DataFrame, finder: Finder = ELEMENT_FINDER, gaps: bool = False, min_identity: float = 0.8) -> DataFrame:
+    """Alignments of all pairs of all elements, with their provenance; with ``gaps`` also their gapped extension, null below ``min_identity``."""
     found = align_pairs(element_pairs(elements).drop("pair_id"), finder)
-    return extend_with_gaps(found) if gaps else found.drop("s1", "s2")
+    return extend_with_gaps(found, min_identity) if gaps else found.drop("s1", "s2")
 
 
 def filter_inputs(alignments: DataFrame) -> DataFrame:

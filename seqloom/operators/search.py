@@ -21,6 +21,12 @@ def deduplicate_hits(hits: DataFrame, threshold: float = 0.95) -> DataFrame:
     """
     rank = F.struct((-F.col("bit_score")).alias("worse"), "hit_id", "bit_score", "sequence")
     rows = hits.select("query_id", "hit_id", F.col("bit_score").cast("double"), F.nullif("sequence", F.lit("")).alias("sequence")).distinct()
+    # Of equal sequences only the best can stay, whatever else is kept: copies are dropped on the map side, before a query's hits meet.
+    if threshold <= 1:
+        none = F.col("sequence").isNull()
+        alone = [F.when(none, F.col(c)).alias(f"own {c}") for c in ("hit_id", "bit_score")]
+        best = rows.groupBy("query_id", F.upper("sequence").alias("same"), *alone).agg(F.min(rank).alias("x"))
+        rows = best.select("query_id", "x.hit_id", "x.bit_score", "x.sequence")
     groups = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(rank)).alias("all"))
     found = F.filter("all", lambda x: x["sequence"].isNotNull())
     near = lambda kept, x: F.exists(kept, lambda y: sequence_identity(y["sequence"], x["sequence"]) >= threshold)

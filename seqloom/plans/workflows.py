@@ -1,4 +1,4 @@
-"""The usual workflows from files to results, each one lazy plan until a sink runs it."""
+"""The usual workflows from files to results. They only build plans, but for small counts that a plan depends on."""
 
 from __future__ import annotations
 

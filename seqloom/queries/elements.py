@@ -126,7 +126,7 @@ def alignment_description(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guide_alignments_gapped(spark: SparkSession, sf: str) -> DataFrame:
-    found = element_alignments(_elements(spark, sf), gaps=True)
+    found = element_alignments(_elements(spark, sf), gaps=True, min_identity=0.45)
     return found.where("gapped is not null").select("is_id", "flanking_source", "region_index", "gapped.*")
 
 

@@ -40,12 +40,6 @@ def write_csv(hits: DataFrame, path: str, with_sequence: bool = True) -> None:
     table.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_excel(hits: DataFrame, path: str, with_sequence: bool = False) -> None:
-    """One sheet, through pandas: for results that fit on one machine. Needs openpyxl."""
-    table = hits if with_sequence else hits.drop("genomic_sequence")
-    table.toPandas().to_excel(path, index=False)
-
-
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -150,3 +144,13 @@ def flat_file(elements: DataFrame, features: DataFrame) -> DataFrame:
         F.lit("\nFEATURES             Location/Qualifiers\n"), F.col("table"), F.lit("\nORIGIN\n"), F.array_join(blocks, "\n"), F.lit("\n//"),
     )
     return rows.select("is_id", text.alias("value"))
+
+
+def write_flat_files(elements: DataFrame, features: DataFrame, path: str) -> DataFrame:
+    """One flat file per element, in the folder ``is_id=...`` below ``path``, replacing it.
+
+    Elements that can't be written, those without any letter of sequence, are left out and returned as ``is_id, problem``.
+    """
+    letters = F.length(F.concat_ws("", *[f"{p}.sequence" for p in ("flanking_upstream", "is_element", "flanking_downstream")]))
+    flat_file(elements.where(letters > 0), features).write.mode("overwrite").partitionBy("is_id").text(path)
+    return elements.where(letters == 0).select("is_id", F.lit("no sequence").alias("problem"))

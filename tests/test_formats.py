@@ -232,3 +232,15 @@ def test_known_regions(spark):
         assert (r.upstream.start, r.upstream.end, r.upstream.length) == expected_up
         assert (r.downstream.start, r.downstream.end, r.downstream.length) == expected_down
         assert r.coding.length == end - start + 1
+
+
+def test_one_flat_file_per_element(spark, tmp_path):
+    part = "struct<sequence: string, length: int>"
+    schema = f"is_id string, flanking_upstream {part}, is_element {part}, flanking_downstream {part}"
+    rows = [("a", ("AC", 2), ("GGT", 3), None), ("b", None, ("TTA", 3), ("C", 1)), ("empty", None, ("", 0), None)]
+    elements = spark.createDataFrame(rows, schema)
+    features = elements.selectExpr("is_id", "'misc_feature' AS feature_type", "0L AS feature_start", "2L AS feature_end", "0 AS strand", "is_id AS label")
+    problems = K.write_flat_files(elements, features, str(tmp_path / "out"))
+    assert [tuple(r) for r in problems.collect()] == [("empty", "no sequence")]
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "out").glob("is_id=*/*.txt")}
+    assert set(files) == {"is_id=a", "is_id=b"} and "acggt" in files["is_id=a"] and "ttac" in files["is_id=b"]
