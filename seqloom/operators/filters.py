@@ -64,6 +64,26 @@ class Verdict:
     doubt: Column | None = None
 
 
+class Inputs(dict):
+    """The columns that filters read. What is costly and used often is made ``once``, as a field of one generated struct: an
+    optimizer may repeat a projection's work in every field above it, but not a generator's."""
+
+    HELD = "the values"
+
+    def __init__(self, columns: dict[str, Column]):
+        super().__init__(columns)
+        self.made: list[Column] = []
+
+    def once(self, column: Column) -> Column:
+        self.made.append(column)
+        return F.col(self.HELD).getField(f"v{len(self.made) - 1}")
+
+    def held(self, df: DataFrame) -> DataFrame:
+        if not self.made:
+            return df
+        return df.select("*", F.explode(F.array(F.struct(*[x.alias(f"v{i}") for i, x in enumerate(self.made)]))).alias(self.HELD))
+
+
 # Columns of an alignment that filters read; those that a table lacks are null.
 INPUTS = {
     "aligned_sequence": "string", "non_coding_start": "bigint", "non_coding_end": "bigint", "mismatches": "int", "gaps": "int",
@@ -78,29 +98,29 @@ METRICS = {
 
 
 def _at_content(c, max_at_percent=75.0) -> Verdict:
-    x = S.at_content(c["aligned_sequence"])
+    x = c.once(S.at_content(c["aligned_sequence"]))
     return Verdict(x <= max_at_percent, F.format_string(f"AT_CONTENT_TOO_HIGH: %.1f%% > {max_at_percent}%%", x), {"at_content": F.bround(x, 2)})
 
 
 def _gc_content(c, min_gc_percent=0.0, max_gc_percent=100.0) -> Verdict:
-    x = S.gc_content(c["aligned_sequence"])
+    x = c.once(S.gc_content(c["aligned_sequence"]))
     text = F.format_string(f"GC_CONTENT_OUT_OF_RANGE: %.1f%% not in [{min_gc_percent}, {max_gc_percent}]", x)
     return Verdict((x >= min_gc_percent) & (x <= max_gc_percent), text, {"gc_content": F.bround(x, 2)})
 
 
 def _entropy(c, min_entropy=1.5) -> Verdict:
-    x = S.shannon_entropy(c["aligned_sequence"])
+    x = c.once(S.shannon_entropy(c["aligned_sequence"]))
     return Verdict(x >= min_entropy, F.format_string(f"LOW_COMPLEXITY: entropy=%.2f < {min_entropy}", x), {"entropy": F.bround(x, 2)})
 
 
 def _homopolymer(c, max_homopolymer_length=5) -> Verdict:
-    x = S.longest_homopolymer(c["aligned_sequence"])
+    x = c.once(S.longest_homopolymer(c["aligned_sequence"]))
     text = F.format_string(f"HOMOPOLYMER_TOO_LONG: %dbp > {max_homopolymer_length}bp", x)
     return Verdict(x <= max_homopolymer_length, text, {"longest_homopolymer": x})
 
 
 def _dinucleotide(c, max_dinucleotide_ratio=0.8) -> Verdict:
-    x = S.dinucleotide_ratio(c["aligned_sequence"])
+    x = c.once(S.dinucleotide_ratio(c["aligned_sequence"]))
     text = F.format_string(f"DINUCLEOTIDE_REPEAT: %.1f%% > {max_dinucleotide_ratio * 100:.1f}%%", x * 100)
     return Verdict(x <= max_dinucleotide_ratio, text, {"dinucleotide_ratio": F.bround(x, 3)})
 
@@ -142,7 +162,7 @@ def _statistical_significance(
     opens = S.gap_opens(F.coalesce(c["alignment_string"], F.lit("")))
     score = (n - mism - gaps) * match_score + mism * mismatch_penalty + opens * gap_open_penalty + (gaps - opens) * gap_extend_penalty
     scale = X.scoring_lambda(match_score, mismatch_penalty) if karlin_lambda is None else karlin_lambda
-    e = F.when(gapped, X.gapped_evalue(score, F.coalesce(q, n), F.coalesce(t, space), karlin_K, scale)).otherwise(X.ungapped_evalue(n, mism, space))
+    e = c.once(F.when(gapped, X.gapped_evalue(score, F.coalesce(q, n), F.coalesce(t, space), karlin_K, scale)).otherwise(X.ungapped_evalue(n, mism, space)))
     text = F.concat(F.lit("E_VALUE_TOO_HIGH: E="), _scientific(e), F.lit(f" > {e_value_reject:.2e}"))
     metrics = {
         "e_value": e, "p_value": X.evalue_to_pvalue(e), "search_space": space, "is_gapped": gapped,
@@ -225,7 +245,7 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
     is replaced, all others stay.
     """
     have = set(df.columns)
-    c = {name: (F.col(name) if name in have else F.lit(None)).cast(kind) for name, kind in INPUTS.items()}
+    c = Inputs({name: (F.col(name) if name in have else F.lit(None)).cast(kind) for name, kind in INPUTS.items()})
     metrics: dict[str, Column] = {}
     confidence, failed, passed, reasons = F.lit("high"), [], [], []
     details: dict[str, Column] = {}
@@ -254,7 +274,7 @@ def apply_filters(df: DataFrame, pipeline: Pipeline) -> DataFrame:
         ).alias("metrics"),
         (F.create_map(*[x for name, d in details.items() for x in (F.lit(name), d)]) if details else F.create_map().cast(DETAILS)).alias("filter_details"),
     )
-    return df.withColumn("verdict", made)
+    return c.held(df).withColumn("verdict", made).drop(c.HELD)
 
 
 def summarise(df: DataFrame, pipeline: Pipeline, *by: str) -> DataFrame:
