@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import clean_id
+from seqloom.common import clean_id, latest_version
 from seqloom.operators.alignments import Finder, align_pairs
 from seqloom.operators.filters import Pipeline, apply_filters, summarise
 from seqloom.operators.gapped import extend_with_gaps
@@ -90,10 +92,14 @@ def process_elements(elements: DataFrame, pipeline: Pipeline | None = None, find
     return joined.withColumn("total_hits", F.coalesce("total_hits", F.lit(0)))
 
 
-def newest_elements(elements: DataFrame) -> DataFrame:
-    """The newest row of every is_id with all columns, the id without surrounding spaces and tabs."""
-    from seqloom.common import latest_version
+def alignment_parts() -> list[Column]:
+    """What of an element its alignments and their counts need: neither its own sequence nor its ORFs."""
+    flanks = [F.struct(f"{c}.sequence").alias(c) for c in ("flanking_upstream", "flanking_downstream")]
+    return [F.col("sample"), F.struct("is_element.length").alias("is_element"), *flanks, F.struct("orf_annotation.noncoding_regions").alias("orf_annotation")]
+
 
-    others = [c for c in elements.columns if c not in ("is_id",)]
+def newest_elements(elements: DataFrame, parts: Sequence[Column] | None = None) -> DataFrame:
+    """The newest row of every is_id with all columns or the given ones, the id without surrounding spaces and tabs."""
+    others = [c for c in elements.columns if c not in ("is_id",)] if parts is None else parts
     newest = latest_version(elements, clean_id("is_id"), F.col("loaded_at"), F.struct(*others))
     return newest.select(F.col("key").alias("is_id"), "payload.*")

@@ -10,7 +10,7 @@ from seqloom.functions import sequence as S
 from seqloom.operators import filters as P
 from seqloom.operators.alignments import Finder, find_between, find_within
 from seqloom.operators.analytics import describe, with_alignment_columns
-from seqloom.operators.elements import element_alignments, element_pairs, filter_inputs, newest_elements, process_elements
+from seqloom.operators.elements import alignment_parts, element_alignments, element_pairs, filter_inputs, newest_elements, process_elements
 from seqloom.operators.gapped import extend_with_gaps
 from seqloom.operators.locate import retrieval_counts, with_genomic_sequence, with_target_sequence
 from seqloom.operators.regions import extract_regions
@@ -24,8 +24,13 @@ def _elements(spark: SparkSession, sf: str) -> DataFrame:
     return newest_elements(table(spark, sf, "is_elements"))
 
 
+def _aligned_elements(spark: SparkSession, sf: str) -> DataFrame:
+    return newest_elements(table(spark, sf, "is_elements"), alignment_parts())
+
+
 def _regions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _elements(spark, sf).select("is_id", F.posexplode("orf_annotation.noncoding_regions").alias("region_no", "r"))
+    parts = [F.struct("orf_annotation.noncoding_regions").alias("orf_annotation")]
+    rows = newest_elements(table(spark, sf, "is_elements"), parts).select("is_id", F.posexplode("orf_annotation.noncoding_regions").alias("region_no", "r"))
     return rows.where("r.sequence is not null").select("is_id", "region_no", F.col("r.sequence").alias("seq"))
 
 
@@ -93,16 +98,16 @@ def length_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def flank_region_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return element_pairs(_elements(spark, sf)).drop("pair_id")
+    return element_pairs(_aligned_elements(spark, sf)).drop("pair_id")
 
 
 def guide_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    found = element_alignments(_elements(spark, sf))
+    found = element_alignments(_aligned_elements(spark, sf))
     return found.select("is_id", "flanking_source", "region_index", "pos1", "pos2", "length", "orientation", "mismatches", "seq1", "seq2")
 
 
 def guide_alignments_mismatched(spark: SparkSession, sf: str) -> DataFrame:
-    found = element_alignments(_elements(spark, sf), Finder(min_length=14, max_mismatches=2))
+    found = element_alignments(_aligned_elements(spark, sf), Finder(min_length=14, max_mismatches=2))
     return found.select("is_id", "flanking_source", "region_index", "pos1", "pos2", "length", "orientation", "mismatches")
 
 
@@ -113,7 +118,7 @@ def _banded(rows: DataFrame) -> DataFrame:
 
 def alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per element its deduplicated alignments, in all and by quality band, and their mean identity; 0 where it has none."""
-    rows = _elements(spark, sf)
+    rows = _aligned_elements(spark, sf)
     counts = _banded(rows).groupBy("is_id").agg(
         F.count("*").alias("n"), F.count_if("is_exact").alias("n_exact"), F.count_if("is_short").alias("n_short"), F.round(F.avg("identity"), 6).alias("identity")
     )
@@ -121,12 +126,12 @@ def alignment_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alignment_description(spark: SparkSession, sf: str) -> DataFrame:
-    found = describe(_banded(_elements(spark, sf)), ["length", "mismatches", "identity"])
+    found = describe(_banded(_aligned_elements(spark, sf)), ["length", "mismatches", "identity"])
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "min", "q25", "median", "q75", "max")})
 
 
 def guide_alignments_gapped(spark: SparkSession, sf: str) -> DataFrame:
-    found = element_alignments(_elements(spark, sf), gaps=True, min_identity=0.45)
+    found = element_alignments(_aligned_elements(spark, sf), gaps=True, min_identity=0.45)
     return found.where("gapped is not null").select("is_id", "flanking_source", "region_index", "gapped.*")
 
 
@@ -137,7 +142,7 @@ def flank_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf: str, pipeline: P.Pipeline, gaps: bool = False) -> DataFrame:
-    return P.apply_filters(filter_inputs(element_alignments(_elements(spark, sf), gaps=gaps)), pipeline)
+    return P.apply_filters(filter_inputs(element_alignments(_aligned_elements(spark, sf), gaps=gaps)), pipeline)
 
 
 def guide_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +177,7 @@ def gapped_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guide_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return process_elements(_elements(spark, sf), P.default_pipeline()).select(
+    return process_elements(_aligned_elements(spark, sf), P.default_pipeline()).select(
         "is_id", "sample", "is_element_length", "num_noncoding_regions", "total_hits", "passed", "failed", "by_high", "by_low", "by_rejected"
     )
 
@@ -229,7 +234,7 @@ def transposition_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guide_candidates_by_element(spark: SparkSession, sf: str) -> DataFrame:
-    found = candidates_by_element(guide_candidates(_elements(spark, sf)))
+    found = candidates_by_element(guide_candidates(_aligned_elements(spark, sf)))
     return found.select("is_id", "n_candidates", F.array_join(F.transform("alignments", lambda a: a["length"].cast("string")), ",").alias("lengths"))
 
 
