@@ -1,4 +1,5 @@
-"""Local search without gaps: of every diagonal on which a query and a target share a word, the best matching segment.
+"""Search without gaps: of every diagonal on which a query and a target share a word, the best matching segment or the
+whole overlap.
 
 Texts are spread over blocks of a bounded number of letters, and every block of queries meets every block of targets in
 a task, where words are joined and diagonals measured as arrays. So no pair of words is ever shuffled.
@@ -6,6 +7,7 @@ a task, where words are joined and diagonals measured as arrays. So no pair of w
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -91,7 +93,51 @@ def _diagonals(q: tuple, t: tuple, word: int):
         yield np.unique(np.stack([x, y, (b - t0[y]) - (a - q0[x])]), axis=1)
 
 
-def _meet(queries: list[str], targets: list[str], word: int, identity: Fraction, coverage: float) -> pd.DataFrame:
+def _segments(q: tuple, t: tuple, x: np.ndarray, y: np.ndarray, shift: np.ndarray, identity: Fraction, coverage: float):
+    """The best segments of diagonals: rows of ``x`` in portions, begin and end in the query (from 0), matches."""
+    begin = np.maximum(-shift, 0)
+    n = np.minimum(q[2][x] - begin, t[2][y] - begin - shift)
+    least = np.maximum(np.ceil(coverage * q[2][x] - 1e-9).astype(np.int64), 1)
+    order = np.lexsort((n, least))
+    order = order[n[order] >= least[order]]
+    at = 0
+    while at < len(order):
+        size = least[order[at]]
+        to = int(np.searchsorted(least[order], size, "right"))
+        to = min(to, at + max(1, LETTERS_AT_ONCE // int(n[order[at:to]].max())))
+        k, at = order[at:to], to
+        place = np.arange(n[k].max())
+        inside = place < n[k, None]
+        a = np.where(inside, (q[1][x[k]] + begin[k])[:, None] + place, 0)
+        b = np.where(inside, (t[1][y[k]] + begin[k] + shift[k])[:, None] + place, 0)
+        match = (q[0][a] == t[0][b]) & inside
+        rows, start, end = _best(match, n[k], int(size), identity)
+        k = k[rows]
+        hits = np.cumsum(match[rows], axis=1, dtype=np.int32)
+        every = np.arange(len(rows))
+        yield k, begin[k] + start, begin[k] + end, hits[every, end - 1] - np.where(start > 0, hits[every, start - 1], 0)
+
+
+def _overlaps(q: tuple, t: tuple, x: np.ndarray, y: np.ndarray, shift: np.ndarray, identity: float, coverage: float):
+    """As ``_segments``, but the whole overlaps that meet the limits."""
+    begin = np.maximum(-shift, 0)
+    n = np.minimum(q[2][x] - begin, t[2][y] - begin - shift)
+    order = np.flatnonzero(n / q[2][x] >= coverage)
+    total, at = np.cumsum(n[order]), 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - n[order[at]] + LETTERS_AT_ONCE, "right")))
+        k, at = order[at:to], to
+        first = np.cumsum(n[k]) - n[k]
+        place = np.arange(n[k].sum()) - np.repeat(first, n[k])
+        a = np.repeat(q[1][x[k]] + begin[k], n[k]) + place
+        b = np.repeat(t[1][y[k]] + begin[k] + shift[k], n[k]) + place
+        matches = np.add.reduceat((q[0][a] == t[0][b]).astype(np.int64), first)
+        good = matches / n[k] >= identity
+        k = k[good]
+        yield k, begin[k], begin[k] + n[k], matches[good]
+
+
+def _meet(queries: list[str], targets: list[str], word: int, measure: Callable) -> pd.DataFrame:
     if not queries or not targets:
         queries, targets = [""], [""]
     t = _coded(targets, 5)
@@ -103,29 +149,8 @@ def _meet(queries: list[str], targets: list[str], word: int, identity: Fraction,
             flip = np.array([3, 2, 1, 0, 4], np.uint8)[forward[0]]
             q = (np.concatenate([np.append(flip[b : b + n][::-1], 4) for b, n in zip(forward[1], forward[2])]).astype(np.uint8), *forward[1:])
         for x, y, shift in _diagonals(q, t, word):
-            begin = np.maximum(-shift, 0)
-            n = np.minimum(q[2][x] - begin, t[2][y] - begin - shift)
-            least = np.maximum(np.ceil(coverage * q[2][x] - 1e-9).astype(np.int64), 1)
-            order = np.lexsort((n, least))
-            order = order[n[order] >= least[order]]
-            at = 0
-            while at < len(order):
-                size = least[order[at]]
-                to = int(np.searchsorted(least[order], size, "right"))
-                to = min(to, at + max(1, LETTERS_AT_ONCE // int(n[order[at:to]].max())))
-                k, at = order[at:to], to
-                place = np.arange(n[k].max())
-                inside = place < n[k, None]
-                a = np.where(inside, (q[1][x[k]] + begin[k])[:, None] + place, 0)
-                b = np.where(inside, (t[1][y[k]] + begin[k] + shift[k])[:, None] + place, 0)
-                match = (q[0][a] == t[0][b]) & inside
-                rows, start, end = _best(match, n[k], int(size), identity)
-                k = k[rows]
-                hits = np.cumsum(match[rows], axis=1, dtype=np.int32)
-                every = np.arange(len(rows))
-                matches = hits[every, end - 1] - np.where(start > 0, hits[every, start - 1], 0)
-                s = begin[k] + start
-                parts.append(np.stack([x[k], y[k], np.full(len(k), strand), s + 1, begin[k] + end, s + shift[k] + 1, begin[k] + end + shift[k], matches, end - start, q[2][x[k]]]))
+            for k, s, e, matches in measure(q, t, x, y, shift):
+                parts.append(np.stack([x[k], y[k], np.full(len(k), strand), s + 1, e, s + shift[k] + 1, e + shift[k], matches, e - s, q[2][x[k]]]))
     out = np.unique(np.concatenate(parts, axis=1), axis=1) if parts else np.zeros((10, 0), np.int64)
     return pd.DataFrame(dict(zip([c.split()[0] for c in FOUND.split(", ")], out)))
 
@@ -149,8 +174,23 @@ def search_segments(queries: DataFrame, targets: DataFrame, word: int = 12, min_
         ``query_id, target_id, strand, query_start, query_end, target_start, target_end`` (1-based, both included; of
         the query's strand), ``matches``, ``identity`` and ``coverage`` of the segment. Equal texts are searched once.
     """
-    key = F.unhex(F.md5(F.col("text").cast("binary")))
     exact = Fraction(min_identity).limit_denominator(10_000)
+    return _search(queries, targets, word, lambda *on: _segments(*on, exact, min_coverage), block_letters)
+
+
+def search_words(queries: DataFrame, targets: DataFrame, word: int = 12, min_identity: float = 0.8, min_coverage: float = 0.15, block_letters: int = BLOCK_LETTERS) -> DataFrame:
+    """Search of queries in targets, on both strands: per diagonal with a shared word the whole overlap.
+
+    The query is laid along each diagonal on which it shares a word with the target; it is given if the overlap has at
+    least ``min_identity`` and holds at least ``min_coverage`` of the query. A match inside an overlap that is otherwise
+    unlike is lost: ``search_segments`` finds it. Letters, arguments and columns are as there. A null id takes no part;
+    null and empty texts share no word; repeated rows are one.
+    """
+    return _search(queries, targets, word, lambda *on: _overlaps(*on, min_identity, min_coverage), block_letters)
+
+
+def _search(queries: DataFrame, targets: DataFrame, word: int, measure: Callable, block_letters: int) -> DataFrame:
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
     qs = queries.select("query_id", F.upper("query").alias("text")).where("query_id is not null and length(text) > 0").distinct().withColumn("key", key)
     ts = targets.select("target_id", F.upper("sequence").alias("text")).where("target_id is not null and length(text) > 0").distinct().withColumn("key", key)
 
@@ -169,7 +209,7 @@ def search_segments(queries: DataFrame, targets: DataFrame, word: int = 12, min_
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         mine, theirs = (rows[rows["side"] == n] for n in (0, 1))
-        found = _meet(mine["text"].tolist(), theirs["text"].tolist(), word, exact, min_coverage)
+        found = _meet(mine["text"].tolist(), theirs["text"].tolist(), word, measure)
         found["q"], found["t"] = mine["key"].to_numpy()[found["q"]], theirs["key"].to_numpy()[found["t"]]
         return found
 

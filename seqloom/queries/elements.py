@@ -14,8 +14,8 @@ from seqloom.operators.elements import alignment_parts, element_alignments, elem
 from seqloom.operators.gapped import extend_with_gaps
 from seqloom.operators.locate import retrieval_counts, with_genomic_sequence, with_target_sequence
 from seqloom.operators.regions import extract_regions
-from seqloom.operators.search import deduplicate_hits, search_words
-from seqloom.operators.segments import search_segments
+from seqloom.operators.search import deduplicate_hits
+from seqloom.operators.segments import search_segments, search_words
 from seqloom.plans.workflows import candidates_by_element, guide_candidates
 from seqloom.sources.sinks import arc_features, deduplicated_alignments, element_features, flat_file
 
@@ -187,19 +187,20 @@ def region_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return deduplicate_hits(hits, 0.3)
 
 
-def flank_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _elements(spark, sf)
-    queries = rows.select(F.col("is_id").alias("query_id"), F.right("flanking_upstream.sequence", F.lit(60)).alias("query"))
-    targets = _regions(spark, sf).select(F.concat_ws(":", "is_id", "region_no").alias("target_id"), F.col("seq").alias("sequence"))
-    return search_words(queries, targets, 16).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
-
-
-def flank_segments(spark: SparkSession, sf: str) -> DataFrame:
+def _flanks_in_regions(search, spark: SparkSession, sf: str) -> DataFrame:
     """Both whole flanks of every element, searched in all regions; a query is named by its element and side."""
     sides = [F.struct(F.lit(side).alias("side"), F.col(f"flanking_{side}.sequence").alias("query")) for side in ("upstream", "downstream")]
     queries = _elements(spark, sf).select("is_id", F.explode(F.array(*sides)).alias("x")).select(F.concat_ws(":", "is_id", "x.side").alias("query_id"), "x.query")
     targets = _regions(spark, sf).select(F.concat_ws(":", "is_id", "region_no").alias("target_id"), F.col("seq").alias("sequence"))
-    return search_segments(queries, targets).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
+    return search(queries, targets).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
+
+
+def flank_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _flanks_in_regions(search_words, spark, sf)
+
+
+def flank_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _flanks_in_regions(search_segments, spark, sf)
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -504,15 +505,15 @@ UNION ALL SELECT is_id, 'misc_binding', up + ncs - 1 + pos2, up + ncs - 1 + pos2
 UNION ALL SELECT is_id, 'misc_binding', CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1, CASE flanking_source WHEN 'upstream' THEN 0 ELSE up + own END + pos1 + n, 0, lab || 'flank', note, NULL FROM b
   WHERE CASE flanking_source WHEN 'upstream' THEN up ELSE down END > 0""",
     "flank_search": _REGIONS
-    + f""", q0 AS (SELECT is_id AS query_id, upper(right(flanking_upstream.sequence, 60)) AS q FROM cur),
+    + f""", q0 AS (SELECT is_id || ':upstream' AS query_id, upper(flanking_upstream.sequence) AS q FROM cur UNION ALL SELECT is_id || ':downstream', upper(flanking_downstream.sequence) FROM cur),
 q AS (SELECT query_id, 1 AS strand, q FROM q0 UNION ALL SELECT query_id, -1, {_RC.format('q')} FROM q0),
 t AS (SELECT is_id || ':' || region_no AS target_id, u AS t FROM reg),
-qw AS (SELECT query_id, strand, i, substr(q, i::INT + 1, 16) AS k FROM (SELECT *, unnest(range(length(q) - 15)) AS i FROM q WHERE length(q) >= 16)),
-tw AS (SELECT target_id, j, substr(t, j::INT + 1, 16) AS k FROM (SELECT *, unnest(range(length(t) - 15)) AS j FROM t WHERE length(t) >= 16)),
-l AS (SELECT DISTINCT query_id, strand, target_id, j - i AS shift FROM qw JOIN tw USING (k)),
+qw AS (SELECT query_id, strand, i, substr(q, i::INT + 1, 12) AS k FROM (SELECT *, unnest(range(length(q) - 11)) AS i FROM q WHERE length(q) >= 12)),
+tw AS (SELECT target_id, j, substr(t, j::INT + 1, 12) AS k FROM (SELECT *, unnest(range(length(t) - 11)) AS j FROM t WHERE length(t) >= 12)),
+l AS (SELECT DISTINCT query_id, strand, target_id, j - i AS shift FROM qw JOIN tw USING (k) WHERE regexp_full_match(k, '[ACGT]+')),
 x AS (SELECT *, greatest(-shift, 0) AS b FROM l JOIN q USING (query_id, strand) JOIN t USING (target_id)),
 y AS (SELECT *, least(length(q) - b, length(t) - b - shift) AS n FROM x),
-z AS (SELECT *, len(list_filter(range(1, n + 1), lambda p: substr(q, (b + p)::INT, 1) = substr(t, (b + shift + p)::INT, 1))) AS m FROM y)
+z AS (SELECT *, len(list_filter(range(1, n + 1), lambda p: substr(q, (b + p)::INT, 1) = substr(t, (b + shift + p)::INT, 1) AND substr(q, (b + p)::INT, 1) IN ('A', 'C', 'G', 'T'))) AS m FROM y)
 SELECT query_id, target_id, strand, (b + 1)::INT AS query_start, (b + n)::INT AS query_end, (b + shift + 1)::INT AS target_start, (b + shift + n)::INT AS target_end, m::INT AS matches, round(m / n, 6) AS identity, round(n / length(q), 6) AS coverage
 FROM z WHERE m / n >= 0.8 AND n / length(q) >= 0.15""",
 }

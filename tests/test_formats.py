@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from seqloom.operators import locate as L
 from seqloom.operators import positions as P
 from seqloom.operators.regions import extract_regions, transposon_record
-from seqloom.operators.search import deduplicate_hits, fasta_header, search_words
+from seqloom.operators.search import deduplicate_hits, fasta_header
+from seqloom.operators.segments import search_words
 from seqloom.plans import workflows as W
 from seqloom.sources import formats as S
 from seqloom.sources import sinks as K

@@ -1,4 +1,4 @@
-"""Local search by segments, beside a plain model."""
+"""Search by segments and overlaps and greedy removal of near hits, beside plain models."""
 
 import os
 import random
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from seqloom.common import table
 from seqloom.operators.elements import newest_elements
-from seqloom.operators.search import search_words
-from seqloom.operators.segments import search_segments
+from seqloom.operators.search import deduplicate_hits
+from seqloom.operators.segments import search_segments, search_words
 from seqloom.queries.elements import QUERIES
 
 SMALL = "/root/testdata/sf0.01"
@@ -65,6 +65,66 @@ def test_segments_like_model(spark):
     assert search_segments(q, t.limit(0), 6).count() == 0
 
 
+def overlaps(query: str, target: str, word: int, identity: float, coverage: float) -> set:
+    """All diagonals with a shared word whose whole overlap meets the limits."""
+    found = set()
+    for strand, q in ((1, query), (-1, query[::-1].translate(TURN))):
+        for shift in range(-len(q) + 1, len(target)):
+            b, e = max(-shift, 0), min(len(q), len(target) - shift)
+            same = [q[i] == target[i + shift] and q[i] in "ACGT" for i in range(b, e)]
+            seeded = any(all(same[i : i + word]) for i in range(len(same) - word + 1))
+            if seeded and sum(same) / (e - b) >= identity and (e - b) / len(q) >= coverage:
+                found.add((strand, b + 1, e, b + shift + 1, e + shift, sum(same)))
+    return found
+
+
+def test_overlaps_like_model(spark):
+    queries, targets = texts(2)
+    q = spark.createDataFrame([(f"q{n}", x) for n, x in enumerate([*queries, queries[0]])] + [("none", None), ("empty", ""), (None, "ACGTACGT")], "query_id string, query string")
+    t = spark.createDataFrame([(f"t{n}", x.lower()) for n, x in enumerate(targets)] * 2, "target_id string, sequence string")
+    expected = {(f"q{n}", f"t{m}", *x) for n, a in enumerate([*queries, queries[0]]) for m, b in enumerate(targets) for x in overlaps(a, b, 6, 0.8, 0.3)}
+    assert len({x[2] for x in expected}) == 2
+    for letters in (100, 10**6):
+        rows = search_words(q, t, 6, 0.8, 0.3, block_letters=letters).collect()
+        assert {tuple(r)[:8] for r in rows} == expected and len(rows) == len(expected)
+    assert search_words(q.limit(0), t, 6).count() == 0
+
+
+@pytest.mark.parametrize("at_once, rows_per_task", [(500, 100_000), (9, 20)])
+def test_near_hits_in_rounds(spark, at_once, rows_per_task):
+    """Large queries, settled in rounds, keep what one pass keeps; scores tie, are null or no number, and ids are large."""
+    rng = random.Random(11)
+    rows = []
+    for query, many in (("big", 60), (None, 25), ("small", 3), ("blank", 12)):
+        bases = ["".join(rng.choices("ACGT", k=rng.randint(10, 40))) for _ in range(4)]
+        for n in range(many):
+            text = "".join(x if rng.random() < 0.9 else rng.choice("ACGTNé") for x in rng.choice(bases))[: rng.randint(8, 40)]
+            text = "" if query == "blank" or n % 9 == 8 else text.lower() if n % 4 == 3 else text
+            rows.append((query, None if n == 5 else 2**60 + n, rng.choice([1.0, 2.0, 3.0, None, float("nan")]), text or None, "other"))
+    rows += rows[:10]
+
+    def behind(r):  # as Spark orders: null first, NaN last
+        score = (0, 0) if r[2] is None else (2, 0) if r[2] != r[2] else (1, -r[2])
+        return score, (r[1] is not None, r[1] or 0), r[3] or ""
+
+    def near(a, b):
+        a, b = a.upper(), b.upper()
+        return sum(x == y for x, y in zip(a, b)) / max(len(a), len(b)) >= 0.8
+
+    expected = []
+    for query in {r[0] for r in rows}:
+        own = sorted({(r[0], r[1], str(r[2]), r[3]): r for r in rows if r[0] == query}.values(), key=behind)
+        kept = []
+        for r in own:
+            if r[3] and not any(near(r[3], x[3]) for x in kept):
+                kept.append(r)
+        expected += kept or own
+    hits = spark.createDataFrame(rows, "query_id string, hit_id bigint, bit_score double, sequence string, `place` string")
+    found = deduplicate_hits(hits, 0.8, at_once, rows_per_task).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(str((r[0], r[1], r[2], r[3])) for r in expected)
+    assert deduplicate_hits(hits.limit(0), 0.8, at_once, rows_per_task).count() == 0
+
+
 def test_interior_match(spark):
     """30 equal letters within an overlap of 60 whose other letters differ."""
     rng = random.Random(5)
