@@ -45,7 +45,8 @@ def merge_intervals(
         rows = rows.where(F.col(k).isNotNull())
 
     # The cuts are approximate quantiles; kept, so that every use of them sees the same ones.
-    pieces = _clip(rows, keys, shared_checkpoint(_cuts(rows, keys, rows_per_shard)))
+    cuts, parts = _cuts(rows, keys, rows_per_shard)
+    pieces = _clip(rows, keys, shared_checkpoint(cuts), parts)
     islands = _merge_sorted(pieces, [*keys, "shard", "sharded"])
 
     # Level 1: what lies inside one shard.
@@ -89,8 +90,9 @@ def _span(kind: str, start: Column, end: Column) -> Column:
     return F.struct(F.lit(kind).alias("span_kind"), start.alias("span_start"), end.alias("span_end"))
 
 
-def _cuts(rows: DataFrame, keys: list[str], rows_per_shard: int) -> DataFrame:
-    """The first positions of shards 1, 2, ... of every huge entity: at most rows / rows_per_shard of them in all."""
+def _cuts(rows: DataFrame, keys: list[str], rows_per_shard: int) -> tuple[DataFrame, int]:
+    """The first positions of shards 1, 2, ... of every huge entity: at most rows / rows_per_shard of them in all; and the
+    most shards that an entity has."""
     huge = rows.groupBy(*keys).count().where(F.col("count") > rows_per_shard)
     most = huge.agg(F.max("count")).first()[0] or 0  # one number: how many cuts the largest entity needs
     parts = max(2, -(-most // rows_per_shard))
@@ -98,20 +100,24 @@ def _cuts(rows: DataFrame, keys: list[str], rows_per_shard: int) -> DataFrame:
     picked = F.transform(
         F.sequence(F.lit(1), wanted - 1), lambda i: F.element_at("q", F.greatest(F.lit(1), F.least((i * parts / wanted).cast("int"), F.lit(parts - 1))))
     )
-    return (
+    cuts = (
         rows.join(F.broadcast(huge), keys)
         .groupBy(*keys)
         .agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], max(10_000, 10 * parts)).alias("q"), F.max("count").alias("count"))
         .select(*keys, F.array_sort(F.array_distinct(picked)).alias("cuts"))
     )
+    return cuts, parts
 
 
-def _clip(rows: DataFrame, keys: list[str], cuts: DataFrame) -> DataFrame:
+def _clip(rows: DataFrame, keys: list[str], cuts: DataFrame, parts: int) -> DataFrame:
     """One piece for each shard that an interval touches; pieces of a shard with the same start become the longest."""
     at = rows.join(F.broadcast(cuts), keys, "left")
 
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(parts.bit_length()))])
+
     def shard_of(x: Column) -> Column:
-        return F.coalesce(F.size(F.filter("cuts", lambda c: c <= x)), F.lit(0))
+        """The number of cuts up to x, by halving: an entity may have very many. Beyond the last cut F.get gives null."""
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("cuts", n + step - 1) <= x, n + step).otherwise(n))
 
     first_of = F.when(F.col("shard") == 0, F.col("s")).otherwise(F.element_at("cuts", F.greatest(F.col("shard"), F.lit(1))))
     last_of = F.when(F.col("shard") >= F.size("cuts"), F.col("e")).otherwise(
