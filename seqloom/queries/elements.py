@@ -190,7 +190,9 @@ def region_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def _flanks_in_regions(search, spark: SparkSession, sf: str) -> DataFrame:
     """Both whole flanks of every element, searched in all regions; a query is named by its element and side."""
     sides = [F.struct(F.lit(side).alias("side"), F.col(f"flanking_{side}.sequence").alias("query")) for side in ("upstream", "downstream")]
-    queries = _elements(spark, sf).select("is_id", F.explode(F.array(*sides)).alias("x")).select(F.concat_ws(":", "is_id", "x.side").alias("query_id"), "x.query")
+    parts = [F.struct(f"flanking_{side}.sequence").alias(f"flanking_{side}") for side in ("upstream", "downstream")]
+    rows = newest_elements(table(spark, sf, "is_elements"), parts)
+    queries = rows.select("is_id", F.explode(F.array(*sides)).alias("x")).select(F.concat_ws(":", "is_id", "x.side").alias("query_id"), "x.query")
     targets = _regions(spark, sf).select(F.concat_ws(":", "is_id", "region_no").alias("target_id"), F.col("seq").alias("sequence"))
     return search(queries, targets).withColumns({c: F.round(c, 6) for c in ("identity", "coverage")})
 
